@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, quality, urlfilter
+from . import chat, decontaminate, pii, quality, substrings, urlfilter
 from .runtime import table
 
 
@@ -14,6 +14,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, with_redacted=False).drop("text", "redacted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_substrings(docs, with_text=False).drop("text", "kept_text")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -39,6 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_decontaminate": op4_decontaminate,
         "op6_quality": op6_quality,
