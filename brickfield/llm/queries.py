@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, quality, substrings, urlfilter
+from . import chat, decontaminate, jaccard, pii, quality, substrings, urlfilter
 from .runtime import table
 
 
@@ -36,6 +36,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs).drop("text")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge_urls(pages).drop("url")
@@ -48,6 +53,7 @@ def queries() -> dict:
         "op3_chat_format": op3_chat_format,
         "op4_decontaminate": op4_decontaminate,
         "op6_quality": op6_quality,
+        "op9_jaccard": op9_jaccard,
         "op10_url_filter": op10_url_filter,
     }
 
