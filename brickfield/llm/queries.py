@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, pii, quality, substrings, urlfilter
+from . import chat, decontaminate, jaccard, pieces, pii, quality, substrings, tokenstore, urlfilter
 from .runtime import table
 
 
@@ -36,6 +36,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs).drop("text")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_pieces(docs, with_ids=False).drop("text", "ids")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.store_and_read(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     return jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
@@ -53,6 +62,8 @@ def queries() -> dict:
         "op3_chat_format": op3_chat_format,
         "op4_decontaminate": op4_decontaminate,
         "op6_quality": op6_quality,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_token_store": op8_token_store,
         "op9_jaccard": op9_jaccard,
         "op10_url_filter": op10_url_filter,
     }
