@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, pieces, pii, quality, substrings, tokenstore, urlfilter
+import corpus_pipeline
+
+from . import chat, decontaminate, htmltext, jaccard, pieces, pii, quality, substrings, tokenstore, urlfilter
 from .runtime import table
 
 
@@ -31,6 +33,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge_quality(docs).drop("text")
@@ -61,11 +68,13 @@ def queries() -> dict:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_decontaminate": op4_decontaminate,
+        "op5_html_text": op5_html_text,
         "op6_quality": op6_quality,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_token_store": op8_token_store,
         "op9_jaccard": op9_jaccard,
         "op10_url_filter": op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1,0 +1,65 @@
+"""The corpus pipeline: quality rules, near duplicates, benchmark passages, personal data, token ids.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and gives the next stage's docs.
+Between two stages the documents are written as Parquet into the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brickfield.llm import decontaminate, jaccard, pieces, pii, quality
+from brickfield.llm.runtime import fresh_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.judge_quality(docs).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one whose id names the group."""
+    grouped = jaccard.jaccard_components(docs)
+    return grouped.where(F.col("component_id") == F.col("doc_id")).select(*COLUMNS)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    found = pii.find_pii(docs).withColumn("text", F.col("redacted"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, instead of its text."""
+    return pieces.encode_pieces(docs).drop("text")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("PII", personal_data),
+    ("SentencePiece encoding and decoding", token_ids),
+]
+
+#: Fertility, homoglyph transducers and BPE are beyond SQL; the tests hold run() against a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = fresh_dir(spark, f"stage{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
