@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .columns import field
 from .runtime import partitions
-from .wordscan import U64, batches_of, segments
+from .wordscan import U64, batches_of, mix, segments
 
 PACK_BYTES = 6 << 20
 #: Fingerprints taken together while a bucket is streamed.
@@ -115,27 +115,48 @@ def stream(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
         yield joined()
 
 
-#: What a reduced bucket says: some keys of a document.
-FOUND = T.StructType([field("id", T.LongType()), field("size", T.LongType()), field("codes", T.BinaryType())])
-FOUND_ARROW = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("codes", pa.binary())])
+#: What reduced buckets say, packed by the partition that the documents are sent to.
+FOUND = T.StructType([field("target", T.IntegerType()), field("ids", T.BinaryType()), field("sizes", T.BinaryType()), field("counts", T.BinaryType()), field("codes", T.BinaryType())])
+FOUND_ARROW = pa.schema([("target", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
+#: One row for each document that has codes: as many as its own text has at most.
+GATHERED = T.StructType([field("id", T.LongType()), field("size", T.LongType()), field("codes", T.BinaryType())])
+_GATHERED_ARROW = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("codes", pa.binary())])
 
 
-def found_batches(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each id, in record batches of bounded size."""
+def found_rows(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, targets: int) -> pa.RecordBatch:
+    """(document, code) pairs, one row for each target."""
+    target = (mix(ids.view(U64)) % U64(targets)).astype(np.int64)
+    order = np.lexsort((ids, target))
+    target, ids, sizes, codes = target[order], ids[order], sizes[order], codes[order]
+    out = []
+    for a, b in zip(*segments(target), strict=True):
+        lo, hi = segments(ids[a:b])
+        out.append((int(target[a]), ids[a:b][lo].tobytes(), sizes[a:b][lo].astype(np.uint32).tobytes(), (hi - lo).astype(np.uint32).tobytes(), codes[a:b].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for batch in batches:
+        for _, ids, sizes, counts, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = np.frombuffer(counts, np.uint32)
+            held.append((np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(sizes, np.uint32), n), np.frombuffer(codes, U64)))
+    if not held:
+        return
+    ids, sizes, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.argsort(ids, kind="stable")
     ids, sizes, codes = ids[order], sizes[order], codes[order]
     lo, hi = segments(ids)
-    for k in range(0, len(lo), 20_000):
-        a, b = lo[k : k + 20_000], hi[k : k + 20_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[a]), pa.array(sizes[a].astype(np.int64)), pa.array([codes[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())],
-            schema=FOUND_ARROW,
-        )
+    for k in range(0, len(lo), 5_000):
+        a, b = lo[k : k + 5_000], hi[k : k + 5_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(sizes[a].astype(np.int64)), pa.array([codes[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], schema=_GATHERED_ARROW)
 
 
-def gathered(found: DataFrame, by: str = "id") -> DataFrame:
-    """All codes of each id; as many as its own text has at most."""
-    return found.groupBy(by).agg(F.first("size").alias("size"), F.collect_list("codes").alias("codes"))
+def gathered(found: DataFrame) -> DataFrame:
+    """All codes of each document. A partition holds the codes of its own documents, whose texts would be longer."""
+    n = partitions(found.sparkSession)
+    return found.repartitionById(n, F.col("target")).mapInArrow(_gather, GATHERED)
 
 
 class Seen:

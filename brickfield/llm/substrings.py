@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import field, with_columns
-from .packed import FOUND, Pack, Seen, Smallest, code, found_batches, gathered, scatter, stream
+from .packed import FOUND, Pack, Seen, Smallest, code, found_rows, gathered, scatter, stream
 from .runtime import partitions
 from .wordscan import NOT_SPACE, U64, Words, mix, scan, text_slices
 
@@ -64,7 +65,7 @@ def _anchor_packs(t: pa.Table) -> Iterator[Pack]:
     yield ids, none, np.concatenate(docs), np.concatenate(keys), 1
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(batches: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.RecordBatch]:
     """The anchors that each document shares with another one."""
     bucket, index, seen = None, np.zeros(0, U64), Seen()
     for now, kind, ids, sizes, keys in stream(batches, _PROBE_WIDTH):
@@ -77,12 +78,12 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         hit = index[at] == keys if len(index) else np.zeros(len(keys), bool)
         found, size, key = seen.feed(ids[hit], sizes[hit], keys[hit])
         if len(found):
-            yield from found_batches(found, size, key | (U64(bucket) << U64(8 * _PROBE_WIDTH)))
+            yield found_rows(found, size, key | (U64(bucket) << U64(8 * _PROBE_WIDTH)), targets)
 
 
 def _of_documents(lists: pa.ChunkedArray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, code) of all codes listed in rows i to j."""
-    raw = [b"".join(x) if x else b"" for x in lists.slice(i, j - i).to_pylist()]
+    raw = [x or b"" for x in lists.slice(i, j - i).to_pylist()]
     codes = np.frombuffer(b"".join(raw), U64)
     return np.repeat(np.arange(j - i), [len(x) // 8 for x in raw]), codes
 
@@ -106,15 +107,16 @@ def _spread(w: Words, at: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _window_packs(buckets: int):
+def _window_packs(buckets: int, text_col: str):
     def packs(t: pa.Table) -> Iterator[Pack]:
         """The windows around each document's anchors."""
-        ids = t.column("id").to_numpy()
+        t = t.filter(pc.is_valid(t.column("_codes")))
+        ids = t.column("_id").to_numpy()
         docs, keys = [], []
-        for i, j, data, offs in text_slices(t.column("text")):
+        for i, j, data, offs in text_slices(t.column(text_col)):
             w = scan(data, offs, NOT_SPACE)
             key, at, doc = w.grams(BLOCK)
-            anchor = _listed(doc, code(key, buckets, _PROBE_WIDTH), *_of_documents(t.column("codes"), i, j))
+            anchor = _listed(doc, code(key, buckets, _PROBE_WIDTH), *_of_documents(t.column("_codes"), i, j))
             near = _spread(w, at[anchor], WINDOW - BLOCK, 1)
             key, at, doc = w.grams(WINDOW)
             docs.append(doc[near[at]] + i)
@@ -125,7 +127,7 @@ def _window_packs(buckets: int):
     return packs
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.RecordBatch]:
     """The windows of each document that a smaller one holds too."""
     bucket, low = None, Smallest()
     for now, _, ids, _, keys in stream(batches, 8):
@@ -133,7 +135,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, low = now, Smallest()
         found, key = low.feed(ids, keys)
         if len(found):
-            yield from found_batches(found, np.zeros(len(found), np.uint32), key)
+            yield found_rows(found, np.zeros(len(found), np.uint32), key, targets)
 
 
 def _kept(w: Words, kept: np.ndarray) -> list[bytes]:
@@ -159,11 +161,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with word counts, the kept words' digest, and the kept words joined by spaces (null if not asked for)."""
     n = partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    hits = scatter(own, _anchor_packs, _PROBE_WIDTH).mapInArrow(_shared_anchors, FOUND)
-    placed = docs.drop("_codes").repartition(n, F.col(id_col))
-    with_hits = placed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(gathered(hits).select("id", "codes").hint("shuffle_hash"), "id")
-    repeats = scatter(with_hits, _window_packs(n), 8).mapInArrow(_repeats, FOUND)
-    marked = placed.join(gathered(repeats).select(F.col("id").alias("_id"), F.col("codes").alias("_codes")).hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    hits = gathered(scatter(own, _anchor_packs, _PROBE_WIDTH).mapInArrow(lambda it: _shared_anchors(it, n), FOUND))
+    # Both joins read one exchange of the documents: outer joins, as an inner one would put a filter below it,
+    # and with all columns, as the second join needs them.
+    placed = docs.drop("_codes").withColumn("_id", F.col(id_col).cast("long")).repartition(n, "_id")
+    with_codes = lambda found: placed.join(found.select(F.col("id").alias("_of"), F.col("codes").alias("_codes")).hint("shuffle_hash"), F.col("_id") == F.col("_of"), "left")
+    repeats = gathered(scatter(with_codes(hits), _window_packs(n, text_col), 8).mapInArrow(lambda it: _repeats(it, n), FOUND))
+    marked = with_codes(repeats).drop("_id", "_of")
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
