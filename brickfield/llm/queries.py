@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, htmltext, jaccard, pieces, pii, quality, substrings, tokenstore, urlfilter
+from . import chat, decontaminate, htmltext, jaccard, pieces, pii, quality, sql, substrings, tokenstore, urlfilter
 from .runtime import table
 
 
@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
