@@ -48,24 +48,26 @@ def partial_fraction(center, radii, samples: int = 10):
     """
     steps = [-0.5 + n / (samples - 1) for n in range(samples)]
     points = F.array(*(F.lit(s) for s in steps))
-    term = lambda axis, n, s: ((F.lit(float(center[n])) - (F.col(axis) + s)) / F.lit(float(radii[n]))) ** 2
-    squares = [F.transform(points, lambda s, a=a, n=n: term(a, n, s)) for n, a in enumerate(AXES)]
+
+    def squared(n: int):
+        return lambda s: ((F.lit(float(center[n])) - (F.col(AXES[n]) + s)) / F.lit(float(radii[n]))) ** 2
+
+    squares = [F.transform(points, squared(n)) for n in range(3)]
     return F.aggregate(squares[0], F.lit(0.0), lambda acc, x: acc + F.aggregate(squares[1], F.lit(0.0), lambda q, y: q + F.size(F.filter(squares[2], lambda z: x + y + z <= 1.0000001)))) / float(samples**3)
 
 
 def ellipsoid(spark: SparkSession, g: Geometry, center=(0, 0, 0), width=WIDTH, fill: float = 1.0, background: float = 0.0, edge: float = 1.0, partial: bool = True, byte_store: bool = True, vol: str = "phantom") -> DataFrame:
-    """An ellipsoid; voxels whose corners fall on both sides get the filled fraction of the edge value.
+    """An ellipsoid. A voxel is full if it and its six neighbours have their centres inside, and on the edge if only some have; edge voxels
+    get the filled fraction of the edge value (partial), or the edge value if their own centre is inside.
 
     byte_store: values are kept as bytes over the range from background to the larger of fill and edge, truncated.
     """
     c, r = _object(g, center, width)
-    within = inside_ellipsoid(*(F.col(a) for a in AXES), c, r)
-    value = F.when(within, float(fill)).otherwise(float(background))
-    if partial:
-        corners = [inside_ellipsoid(*(F.col(a) + d for a, d in zip(AXES, s, strict=True)), c, r).cast("int") for s in np.ndindex(2, 2, 2) for s in [tuple(x - 0.5 for x in s)]]
-        n = sum(corners)
-        f = partial_fraction(c, r)
-        value = F.when(n == 8, float(fill)).when(n == 0, float(background)).otherwise(f * float(edge) + (F.lit(1.0) - f) * float(background))
+    inside = lambda d: inside_ellipsoid(*(F.col(a) + x for a, x in zip(AXES, d, strict=True)), c, r).cast("int")
+    around = [(0, 0, 0)] + [tuple(s * int(n == m) for m in range(3)) for n in range(3) for s in (-1, 1)]
+    n = sum((inside(d) for d in around), F.lit(0))
+    own = partial_fraction(c, r) * float(edge) if partial else F.when(inside((0, 0, 0)) == 1, float(edge)).otherwise(float(background))
+    value = F.when(n == len(around), float(fill)).when(n == 0, float(background)).otherwise(own)
     out = grid(spark, g.size).select(F.lit(vol).alias("vol"), *AXES, value.alias("value"))
     if byte_store:
         top = max(fill, edge)
