@@ -205,13 +205,22 @@ def _spectrum(n: int, step: float, fwhm: float, kind: str) -> np.ndarray:
 
 
 def _per_line(voxels: DataFrame, axis: str, work) -> DataFrame:
-    others = [a for a in AXES if a != axis]
+    """Each line along an axis becomes one array; lines of equal length are worked on together, as the rows of a matrix."""
+    others = ["vol", *(a for a in AXES if a != axis)]
+    packed = voxels.groupBy(*others).agg(F.sort_array(F.collect_list(F.struct(F.col(axis).alias("at"), "value"))).alias("p"))
+    flat = packed.select(*others, F.col("p.at").alias("at"), F.col("p.value").alias("line"))
+    schema = T.StructType([*flat.schema.fields[:-1], T.StructField("line", T.ArrayType(T.DoubleType()))])
 
-    def run(line: pd.DataFrame) -> pd.DataFrame:
-        line = line.sort_values(axis)
-        return line.assign(value=work(line["value"].to_numpy(float)))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            length = t["line"].map(len)
+            for n in length.unique():
+                same = t[length == n].copy()
+                same["line"] = list(work(np.stack(same["line"].to_numpy()).astype(float)))
+                yield same
 
-    return voxels.groupBy("vol", *others).applyInPandas(run, voxels.schema)
+    out = flat.mapInPandas(run, schema).select(*others, F.explode(F.arrays_zip("at", "line")).alias("z"))
+    return out.select(*(F.col("z.at").alias(c) if c == axis else F.col("z.line").alias(c) if c == "value" else c for c in voxels.columns))
 
 
 def fft_blur(voxels: DataFrame, step, fwhm, kind: str = "gaussian", order: int = 0) -> DataFrame:
@@ -221,8 +230,8 @@ def fft_blur(voxels: DataFrame, step, fwhm, kind: str = "gaussian", order: int =
             continue
 
         def work(v: np.ndarray, s=s, f=f) -> np.ndarray:
-            n = next_power_of_two(2 * len(v))
-            return np.real(np.fft.ifft(np.fft.fft(v, n) * _spectrum(n, s, f, kind)))[: len(v)]
+            n = next_power_of_two(2 * v.shape[1])
+            return np.real(np.fft.ifft(np.fft.fft(v, n) * _spectrum(n, s, f, kind)))[:, : v.shape[1]]
 
         voxels = _per_line(voxels, a, work)
     return voxels
@@ -232,11 +241,11 @@ def fft_derivative(voxels: DataFrame, axis: str, step: float, order: int = 1) ->
     """First or second derivative along an axis by the Fourier ramp, on lines padded to a power of two with their end values."""
 
     def work(v: np.ndarray) -> np.ndarray:
-        n = next_power_of_two(2 * len(v))
-        pad = n - len(v)
-        whole = np.concatenate([v, np.linspace(v[-1], v[0], pad + 2)[1:-1]])
+        length = v.shape[1]
+        n = next_power_of_two(2 * length)
+        bridge = np.linspace(v[:, -1], v[:, 0], n - length + 2, axis=1)[:, 1:-1]
         ramp = 2j * np.pi * np.fft.fftfreq(n, d=step)
-        return np.real(np.fft.ifft(np.fft.fft(whole) * ramp**order))[: len(v)]
+        return np.real(np.fft.ifft(np.fft.fft(np.concatenate([v, bridge], 1)) * ramp**order))[:, :length]
 
     return _per_line(voxels, axis, work)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import geometry_queries, volume_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**volume_queries.QUERIES, **geometry_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**volume_queries.SQL, **geometry_queries.SQL}
