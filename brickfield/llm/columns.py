@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .wordscan import give_back
+
 Maker = Callable[[], Callable[[pa.RecordBatch], list]]
 
 
@@ -30,6 +32,7 @@ def with_columns(df: DataFrame, new: list[T.StructField], make: Maker) -> DataFr
             values = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, t) for v, t in zip(work(batch), types, strict=True)]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in old] + values
             yield pa.RecordBatch.from_arrays(columns, names=[*old, *(f.name for f in new)])
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*kept, *new]))
 

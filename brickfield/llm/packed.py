@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 
 from .columns import field
 from .runtime import partitions
-from .wordscan import U64, batches_of, mix, segments
+from .wordscan import U64, batches_of, give_back, mix, segments
 
-PACK_BYTES = 6 << 20
+PACK_BYTES = 3 << 20
 #: Fingerprints taken together while a bucket is streamed.
-CHUNK = 2_000_000
+CHUNK = 300_000
 
 ROW = T.StructType(
     [
@@ -90,6 +90,7 @@ def scatter(df: DataFrame, packs: Callable[[pa.Table], Iterator[Pack]], width: i
                 rows = list(pack_rows(pack, buckets, width))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, ROW_ARROW)
+            give_back()
 
     return df.mapInArrow(run, ROW).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
@@ -113,6 +114,7 @@ def stream(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
             total += len(keys)
     if held:
         yield joined()
+    give_back()
 
 
 #: What reduced buckets say, packed by the partition that the documents are sent to.
@@ -151,6 +153,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(lo), 5_000):
         a, b = lo[k : k + 5_000], hi[k : k + 5_000]
         yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(sizes[a].astype(np.int64)), pa.array([codes[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], schema=_GATHERED_ARROW)
+    give_back()
 
 
 def gathered(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ scanning and character scanning find the same words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,13 +101,16 @@ class Words:
         return mix((p[b] - p[a]) * down[a] + (b - a).astype(U64))
 
 
-def scan(data: np.ndarray, offs: np.ndarray, word: np.ndarray, lower: bool = False) -> Words:
+def scan(data: np.ndarray, offs: np.ndarray, word: np.ndarray, lower: bool = False, cuts: np.ndarray | None = None) -> Words:
+    """Runs of bytes of a class, within documents; cuts: marks of bytes before which a run ends too."""
     n = len(data)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     is_word = word[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
+    if cuts is not None:
+        edge[:n] |= cuts
     before = np.zeros(n, bool)
     before[1:] = is_word[:-1]
     start = np.flatnonzero(is_word & (~before | edge[:n]))
@@ -139,6 +143,15 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         i = j
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a task, and an executor's memory is theirs too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # not glibc
+
+
 def segments(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
     if not len(key):
