@@ -11,13 +11,15 @@ and partial counts are added up:
    nothing and ends here. Shingles that no other class has are never needed again.
 3. Candidates: a pair that links shares a shingle among each one's first few in the global order
    (prefix filter). Classes that share such a shingle form a list.
+   The order within a set is by a sketch's count of each shingle's frequency, rare ones first, so
+   that passages that very many documents share come last; any order gives the same links.
 4. Short lists give their pairs. In a long list, all are compared with one class, the hub. Two members that
-   both link with the hub are in one component already. For the rest, write d(x) for the
-   shingles in which x and the hub differ: x and y differ in |d(x)| + |d(y)| - 2|d(x) & d(y)|
-   shingles, and if x doesn't link with the hub, x and y can only link if d(x) and d(y) have
-   a shingle in common. So lists of classes with a common difference replace the long list,
-   and those are treated likewise. No list's pairs are all formed and no link between
-   components is lost.
+   both link with the hub are in one component already. What is left, members that don't link with it
+   against all of the hub's members, is counted in blocks of BLOCK by BLOCK: for d(x), the shingles in which x and
+   the hub differ, |x & y| follows from |d(x)|, |d(y)| and |d(x) & d(y)|, and the last is one
+   product of 0/1 matrices for each fragment of the block's shingles, added up. A block's answer is a spanning forest of its
+   links. So no list's pairs become rows, no task holds more than a block, and no link
+   between components is lost.
 5. A pair's overlap is the sum of the overlaps in each fragment.
 
 Links and components stay distributed. Defined results: with fewer words than a shingle, the
@@ -38,13 +40,17 @@ from pyspark.sql import types as T
 
 from .columns import field, with_columns
 from .components import connected
-from .packed import FOUND, Pack, Seen, code, found_batches, gathered, scatter, stream
+from .packed import FOUND, Pack, Seen, found_rows, gathered, scatter, stream
 from .runtime import cut, partitions, staged
-from .wordscan import NOT_SPACE, U64, mix, scan, segments, text_slices
+from .wordscan import NOT_SPACE, U64, give_back, mix, scan, text_slices
 
 SHINGLE, PERCENT = 5, 75
 #: Lists up to this length give all their pairs.
-SHORT = 12
+SHORT = 24
+#: Counters of the frequency sketch: half a megabyte, whatever the input.
+SLOTS = 1 << 17
+#: Members of a long list compared in one task, and shingles multiplied at once.
+BLOCK, FRAGMENT = 512, 4096
 _WIDTH = 6
 
 
@@ -106,7 +112,7 @@ def _set_packs(size: int):
     return packs
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.RecordBatch]:
     """Each fragment's partial result: the shingles of a class that another class has."""
     bucket, seen = None, Seen()
     for now, _, ids, sizes, keys in stream(batches, _WIDTH):
@@ -114,135 +120,239 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, seen = now, Seen()
         found, size, key = seen.feed(ids, sizes, keys)
         if len(found):
-            yield from found_batches(found, size, key | (U64(bucket) << U64(8 * _WIDTH)))
+            yield found_rows(found, size, key | (U64(bucket) << U64(8 * _WIDTH)), targets)
 
 
-CLASS = T.StructType([field("id", T.LongType()), field("size", T.LongType()), field("score", T.DoubleType()), field("codes", T.BinaryType())])
+CLASS = T.StructType([field("id", T.LongType()), field("size", T.LongType()), field("codes", T.BinaryType())])
+_CLASS_ARROW = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("codes", pa.binary())])
 
 
 def _survivors(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {n: [] for n in CLASS.names}
-            for node, size, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                codes = np.unique(np.frombuffer(b"".join(parts), U64))
+            out = []
+            for node, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = np.unique(np.frombuffer(raw, U64))
                 if 100 * len(codes) >= percent * size:
-                    for c, v in zip(out.values(), (node, size, len(codes) / size, codes.tobytes()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("size", pa.int64()), ("score", pa.float64()), ("codes", pa.binary())]))
+                    out.append((node, size, codes.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CLASS_ARROW, strict=True)], schema=_CLASS_ARROW)
 
     return run
 
 
-LISTED = T.StructType([field("list", T.BinaryType()), field("id", T.LongType()), field("score", T.DoubleType()), field("open", T.BooleanType())])
-_LISTED_ARROW = pa.schema([("list", pa.binary()), ("id", pa.int64()), ("score", pa.float64()), ("open", pa.bool_())])
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (mix(codes + U64(0x1F)) >> U64(47)).astype(np.int64)
 
 
-def _listed(lists: list[bytes], ids, scores, opens) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(opens, pa.bool_())], schema=_LISTED_ARROW)
+def _sketch(classes: DataFrame) -> np.ndarray:
+    """How many classes have the shingles of each slot: one fixed-size array from each partition, added up in one task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.bincount(_slot(np.frombuffer(raw, U64)), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["c"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["c"])
+
+    row = classes.select("codes").mapInArrow(count, "c binary").repartition(1).mapInArrow(add, "c binary").first()
+    return np.frombuffer(row[0], np.uint32) if row else np.zeros(SLOTS, np.uint32)
+
+
+#: A member of a list; score: how common its shingles are.
+LISTED = T.StructType([field("list", T.LongType()), field("id", T.LongType()), field("size", T.IntegerType()), field("score", T.FloatType())])
+_LISTED_ARROW = pa.schema([("list", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("score", pa.float32())])
+
+
+def _listed(rows: list[tuple[np.ndarray, int, int, float]]) -> pa.RecordBatch:
+    """rows: (lists, id, size, score)"""
+    n = [len(r[0]) for r in rows]
+    of = lambda k, t: np.repeat(np.array([r[k] for r in rows], t), n)
+    lists = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, U64)
+    return pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(of(1, np.int64)), pa.array(of(2, np.int32)), pa.array(of(3, np.float32))], schema=_LISTED_ARROW)
+
+
+def _score(counts: np.ndarray) -> float:
+    return float(np.log2(1.0 + counts).mean()) if len(counts) else 0.0
 
 
-def _prefixes(percent: int):
+def _rarest(codes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, float]:
+    """The codes in the global order, and the set's score."""
+    counts = sketch[_slot(codes)]
+    return codes[np.lexsort((mix(codes), counts))], _score(counts)
+
+
+def _prefixes(percent: int, sketch):
     """A row for each of a class's first shingles that a partner must share; shingles of no other class come first in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
         for batch in batches:
-            for node, size, score, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                codes = np.sort(mix(np.frombuffer(raw, U64)))
+            rows = []
+            for node, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes, score = _rarest(np.frombuffer(raw, U64), counts)
                 n = size - -(-percent * size // 100) + 1 - (size - len(codes))
                 if n > 0:
-                    yield _listed([c.tobytes() for c in codes[:n]], [node] * n, [score] * n, [True] * n)
+                    rows.append((codes[:n], node, size, score))
+            yield _listed(rows)
 
     return run
 
 
 PAIR = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
-COMPARED = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field("linked", T.BooleanType()), field("score", T.DoubleType()), field("apart", T.BinaryType())])
+_PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+COMPARED = T.StructType([*PAIR, field("size", T.LongType()), field("linked", T.BooleanType()), field("extra", T.BinaryType()), field("lacking", T.BinaryType())])
+_COMPARED_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("linked", pa.bool_()), ("extra", pa.binary()), ("lacking", pa.binary())])
 
 
 def _compare(percent: int, differences: bool):
-    """Overlap of each pair, summed over the fragments; and, if asked for, in what the two differ."""
-
-    def overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray]:
-        both = np.concatenate([x, y])
-        both.sort()
-        same = both[1:] == both[:-1]
-        fragment = both[1:][same] >> U64(8 * _WIDTH)
-        partial = np.bincount(fragment.astype(np.int64)) if len(fragment) else np.zeros(1, np.int64)
-        if not differences:
-            return int(partial.sum()), both[:0]
-        alone = np.ones(len(both), bool)
-        alone[1:][same] = alone[:-1][same] = False
-        return int(partial.sum()), both[alone]
+    """Overlap of each pair, summed over the fragments; and, if asked for, what a has besides b and what it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {n: [] for n in COMPARED.names}
-            for a, b, score, na, xa, nb, xb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                common, apart = overlap(np.frombuffer(xa, U64), np.frombuffer(xb, U64))
-                linked = 100 * common >= percent * (na + nb - common)
-                for c, v in zip(out.values(), (a, b, linked, score, apart.tobytes() if differences else None), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("score", pa.float64()), ("apart", pa.binary())]))
+            out = []
+            numbers = [batch.column(k).to_pylist() for k in (0, 1, 2, 4)]
+            for a, b, na, nb, xa, xb in zip(*numbers, batch.column(3), batch.column(5), strict=True):
+                x, y = np.frombuffer(xa.as_buffer(), U64), np.frombuffer(xb.as_buffer(), U64)
+                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                same = y[at] == x if len(y) else np.zeros(len(x), bool)
+                partial = np.bincount((x[same] >> U64(8 * _WIDTH)).astype(np.int64))  # of each fragment
+                common = int(partial.sum())
+                extra, lacking = None, None
+                if differences:
+                    has = np.zeros(len(y), bool)
+                    has[at[same]] = True
+                    extra, lacking = x[~same].tobytes(), y[~has].tobytes()
+                out.append((a, b, na, 100 * common >= percent * (na + nb - common), extra, lacking))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 6, _COMPARED_ARROW, strict=True)], schema=_COMPARED_ARROW)
+        give_back()
 
     return run
 
 
 def _compared(pairs: DataFrame, classes: DataFrame, percent: int, differences: bool) -> DataFrame:
-    """pairs(a, b) with whether they link; b's side may be a hub of very many pairs."""
-    of = lambda s: classes.select(F.col("id").alias(s), F.col("size").alias(f"n_{s}"), F.col("codes").alias(f"x_{s}"), F.col("score").alias(f"s_{s}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "n_a", "x_a", "n_b", "x_b")
+    """pairs(a, b) with whether they link; b may be a hub of very many pairs."""
+    of = lambda s: classes.select(F.col("id").alias(s), F.col("size").alias(f"n_{s}"), F.col("codes").alias(f"x_{s}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "x_a", "n_b", "x_b")
     return both.mapInArrow(_compare(percent, differences), COMPARED)
 
 
-def _pairs_of_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list of at most SHORT members of which one is open."""
-    for batch in batches:
-        found = set()
-        for ids, opens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for i, a in enumerate(ids):
-                for k in range(i):
-                    if opens[i] or opens[k]:
-                        found.add((min(a, ids[k]), max(a, ids[k])))
-        a, b = zip(*sorted(found), strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+def _pairs_of_short(percent: int):
+    """All pairs of lists of at most SHORT members whose sizes let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for batch in batches:
+            found = set()
+            for members in batch.column(0).to_pylist():
+                m = tuple(sorted((x["id"], x["size"]) for x in members))
+                if m in done:
+                    continue
+                if len(done) < 20_000:
+                    done.add(m)
+                for i, (a, na) in enumerate(m):
+                    for b, nb in m[i + 1 :]:
+                        if a != b and 100 * min(na, nb) >= percent * max(na, nb):
+                            found.add((a, b))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_ARROW)
+
+    return run
+
+
+def _forest(n: int, links: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all of them connect."""
+    up, out = list(range(n)), []
+    for a, b in links.tolist():
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            out.append((a, b))
+    return out
+
+
+def _block_links(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Links between the open members (side 0) and all members (side 1) of one block, as a spanning forest."""
+        t = t.combine_chunks()
+        side, ids = t.column("side").to_numpy(), t.column("a").to_numpy()
+        size, base, lacks = (t.column(c).to_numpy() for c in ("size", "base", "lacks"))
+        raw = t.column("apart").to_pylist()
+        row, col = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]), np.frombuffer(b"".join(raw), U64)
+        names, col = np.unique(col, return_inverse=True)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.zeros(len(raw), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        on_left = side[row] == 0
+        both = (np.bincount(col[on_left], minlength=len(names)) > 0) & (np.bincount(col[~on_left], minlength=len(names)) > 0)
+        keep = both[col]
+        rank = np.cumsum(both) - 1
+        row, col, on_left = row[keep], rank[col[keep]], on_left[keep]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for a in range(0, int(both.sum()), FRAGMENT):
+            part = (col >= a) & (col < a + FRAGMENT)
+            x, y = np.zeros((len(left), FRAGMENT), np.float32), np.zeros((len(right), FRAGMENT), np.float32)
+            p, q = part & on_left, part & ~on_left
+            x[place[row[p]], col[p] - a] = 1
+            y[place[row[q]], col[q] - a] = 1
+            shared += x @ y.T
+        common = np.rint(shared).astype(np.int64) + base[left][:, None] - lacks[left][:, None] - lacks[right][None, :]
+        linked = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        i, j = np.nonzero(linked & (ids[left][:, None] != ids[right][None, :]))
+        nodes, at = np.unique(ids, return_inverse=True)
+        found = _forest(len(nodes), np.stack([at[left[i]], at[right[j]]], 1))
+        give_back()
+        return pa.Table.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], schema=_PAIR_ARROW)
+
+    return run
 
 
-def _difference_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle in which a member and its hub differ."""
-    for batch in batches:
-        for a, b, linked, score, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hub = int(b).to_bytes(8, "little", signed=True)
-            lists = [hub + raw[k : k + 8] for k in range(0, len(raw), 8)]
-            if lists:
-                yield _listed(lists, [a] * len(lists), [score] * len(lists), [not linked] * len(lists))
+def _links_of_rest(around: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links between members that don't link with their hub (b) and all of its members."""
+    counts = around.groupBy("b").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("left")).where("left > 0")
+    hubs = counts.join(classes.select(F.col("id").alias("b"), (F.length("codes") / 8).cast("long").alias("base")), "b")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    of = around.join(hubs, "b").select("a", "b", "size", "base", "linked", (F.length("lacking") / 8).cast("long").alias("lacks"), F.concat("extra", "lacking").alias("apart"), blocks("left").alias("bu"), blocks("n").alias("bm"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    kept = ["a", "b", "size", "base", "lacks", "apart"]
+    left = of.where("not linked").select(*kept, own("bu").alias("u"), F.explode(up_to("bm")).alias("m"), F.lit(0).alias("side"))
+    right = of.select(*kept, F.explode(up_to("bu")).alias("u"), own("bm").alias("m"), F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy("b", "u", "m").applyInArrow(_block_links(percent), PAIR)
 
 
 def class_links(classes: DataFrame, percent: int = PERCENT, short: int = SHORT) -> DataFrame:
     """(a, b) links that join every component of the classes; not every link within one."""
     spark = classes.sparkSession
-    lists = classes.mapInArrow(_prefixes(percent), LISTED)
-    links = spark.createDataFrame([], PAIR)
-    while True:
-        about = lists.groupBy("list").agg(F.count("*").alias("n"), F.max("open").alias("any_open"), F.max_by("id", F.struct("score", "id")).alias("hub"))
-        members = cut(lists.join(about.where("n > 1 and any_open"), "list").select("list", "id", "score", "open", "n", "hub"))
-        few = members.where(F.col("n") <= short).groupBy("list").agg(F.collect_list("id").alias("ids"), F.collect_list("open").alias("opens")).select("ids", "opens")
-        near = _compared(few.mapInArrow(_pairs_of_short, PAIR).distinct(), classes, percent, False)
-        links = links.unionByName(near.where("linked").select("a", "b"))
-        to_hub = members.where((F.col("n") > short) & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        around = cut(_compared(to_hub, classes, percent, True))
-        links = cut(links.unionByName(around.where("linked").select("a", "b")))
-        undone = around.groupBy("b").agg(F.max(~F.col("linked")).alias("left")).where("left").select("b")
-        if undone.isEmpty():
-            return links
-        lists = around.join(undone, "b").select("a", "b", "linked", "score", "apart").mapInArrow(_difference_lists, LISTED)
+    sketch = spark.sparkContext.broadcast(_sketch(classes))
+    lists = cut(classes.mapInArrow(_prefixes(percent, sketch), LISTED))
+    about = lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(lists.join(about, "list"))
+    few = members.where(F.col("n") <= short).groupBy("list").agg(F.collect_list(F.struct("id", "size")).alias("members")).select("members")
+    near = _compared(few.mapInArrow(_pairs_of_short(percent), PAIR).distinct(), classes, percent, False).where("linked").select("a", "b")
+    many = members.where(F.col("n") > short)
+    hubs = many.groupBy("list").agg(F.max_by("id", F.struct("score", "id")).alias("hub"))
+    to_hub = many.join(hubs, "list").where(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    around = cut(_compared(to_hub, classes, percent, True))
+    return near.unionByName(around.where("linked").select("a", "b")).unionByName(_links_of_rest(around, classes, percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, short: int = SHORT) -> DataFrame:
     """docs with n_shingles and component_id, the smallest id that links lead to."""
     sets = shingle_sets(docs, text_col, size)
     text = docs.select(F.col(text_col).alias("text"))
-    found = scatter(text, _set_packs(size), _WIDTH).mapInArrow(_shared, FOUND)
+    n = partitions(docs.sparkSession)
+    found = scatter(text, _set_packs(size), _WIDTH).mapInArrow(lambda it: _shared(it, n), FOUND)
     classes = staged(gathered(found).mapInArrow(_survivors(percent), CLASS), "jaccard")
     roots = connected(class_links(classes, percent, short))
     named = sets.join(roots, sets["_set"] == roots["node"], "left").withColumn("_group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "_set"))).drop("node", "root", "_set")
