@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import field, with_columns
-from .runtime import partitions
+from .runtime import cut, partitions
 from .urlfilter import split_url
 from .wordscan import segments
 
 DROPPED, OPEN, MAIN, ARTICLE = range(4)
 RUN, MIN_PAGES, MIN_SHARE, HOST_PAGES = 6, 3, 0.02, 200
+BROADCAST_HOSTS = 100_000
 _DEPTH = 64
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
@@ -256,8 +257,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     n = partitions(pages.sparkSession)
     read = _read_pages(pages.withColumn(url_col, F.col(url_col).cast("string")), url_col, html_col)
     hosts = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    large = pages.groupBy(hosts.alias("_h")).count().where(F.col("count") > HOST_PAGES)
-    dealt = read.join(large, F.lower("_host") == F.col("_h"), "left")
+    large = cut(pages.groupBy(hosts.alias("_h")).count().where(F.col("count") > HOST_PAGES))
+    # A row for each large host; broadcast only if counted to be few, else a shuffled join.
+    few = large.count() <= BROADCAST_HOSTS
+    dealt = read.join(F.broadcast(large) if few else large, F.lower("_host") == F.col("_h"), "left")
     slot = F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.ceil(F.col("count") / HOST_PAGES)), F.lit(0))
     dealt = dealt.withColumn("_slot", slot).drop("_h", "count")
     kept = [f for f in dealt.schema.fields if f.name not in ("_host", "_slot", "_zones", "_blocks", "text", "n_chars")]
