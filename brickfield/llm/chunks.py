@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Chunks remembered; beyond that all are forgotten and met anew. Bounds a worker's memory.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Encoder:

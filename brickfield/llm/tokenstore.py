@@ -119,12 +119,31 @@ def _encoder(path: str) -> Encoder:
     return Encoder(lambda chunks: [e.ids for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)], np.uint32)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
+_MARK[0x27] = False
+
+
+def _letter_ends(data: np.ndarray) -> np.ndarray:
+    """Bytes with an ASCII letter on one side and an ASCII mark or digit other than the apostrophe on the other."""
+    letter, mark = _LETTER[data], _MARK[data]
+    out = np.zeros(len(data), bool)
+    out[1:] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+    return out
+
+
 def encode_slice(data: np.ndarray, offs: np.ndarray, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each with END_ID behind it; where each begins, and the end).
 
-    The tokenizer drops white space and never joins over it, so words are encoded apart."""
-    w = scan(data, offs, NOT_SPACE)
-    raw = data.tobytes()
+    The tokenizer drops white space and joins nothing over it, nor a letter with a mark or digit, and it
+    lower-cases; so runs of either are encoded apart, lower-cased. Slices that may hold a special token
+    (`<|`) keep their words whole and as they are.
+    """
+    special = b"<|" in data.tobytes()
+    w = scan(data, offs, NOT_SPACE, not special, None if special else _letter_ends(data))
+    raw = w.data.tobytes()
     ids, sizes = encoder.ids(w.hash, lambda k: raw[w.start[k] : w.end[k]])
     ends = np.concatenate([[0], np.cumsum(sizes)])[w.first]
     return np.insert(ids, ends[1:], END_ID), ends + np.arange(len(ends))

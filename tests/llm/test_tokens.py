@@ -101,6 +101,17 @@ def expected_store(rows):
     return out
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abS'!-9\u0301\u0338é漢<|> \n\t\u2026.") | st.characters(blacklist_categories=["Cs"]), max_size=25), min_size=1, max_size=6))
+def test_word_runs_of_any_text(texts):
+    t = Tokenizer.from_file(WORDS)
+    for texts in (texts, [*texts, "<|endoftext|>x"]):
+        for _, _, data, offs in text_slices(pa.array(texts)):
+            ids, begins = tokenstore.encode_slice(data, offs, tokenstore._encoder(WORDS))
+            for a, b, text in zip(begins[:-1], begins[1:], texts, strict=True):
+                assert ids[a:b].tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_store_matches_the_library(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in queries.op8_token_store(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
