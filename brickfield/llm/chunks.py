@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks remembered; beyond that all are forgotten and met anew. Bounds a worker's memory.
-REMEMBERED = 1_000_000
+#: Chunks remembered unless an encoder asks for another number; beyond that all are forgotten and met anew.
+#: It bounds a worker's memory, which the worker keeps while it serves other operators.
+REMEMBERED = 200_000
 
 
 class Encoder:
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], dtype) -> None:
-        self.encode, self.dtype = encode, dtype
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], dtype, remembered: int = REMEMBERED) -> None:
+        self.encode, self.dtype, self.remembered = encode, dtype, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -44,7 +45,7 @@ class Encoder:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         chunks = [bytes_of(k) for k in first.tolist()]
-        if len(self.known) + len(chunks) > REMEMBERED and self.known:
+        if len(self.known) + len(chunks) > self.remembered and self.known:
             self._forget()
         new = [c for c in dict.fromkeys(chunks) if c not in self.known]
         if new:

@@ -43,6 +43,7 @@ from .wordscan import NOT_SPACE, U64, batches_of, mix, scan, text_slices
 END_ID = 1
 GEAR, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 _SLICE = 1 << 21
+REMEMBERED = 800_000
 _GEAR_BASE = 0xD6E8_FEB8_6659_FD93
 
 OBJECT = T.StructType(
@@ -116,7 +117,7 @@ def _encoder(path: str) -> Encoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = json_tokenizer(path)
-    return Encoder(lambda chunks: [e.ids for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)], np.uint32)
+    return Encoder(lambda chunks: [e.ids for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)], np.uint32, REMEMBERED)
 
 
 _LETTER = np.zeros(256, bool)
