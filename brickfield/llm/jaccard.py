@@ -347,8 +347,8 @@ def class_links(classes: DataFrame, percent: int = PERCENT, short: int = SHORT)
     return near.unionByName(around.where("linked").select("a", "b")).unionByName(_links_of_rest(around, classes, percent))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, short: int = SHORT) -> DataFrame:
-    """docs with n_shingles and component_id, the smallest id that links lead to."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, short: int = SHORT, group_col: str | None = None) -> DataFrame:
+    """docs with n_shingles and component_id, the smallest id that links lead to; group_col: the component's own key too, null for a text without words."""
     sets = shingle_sets(docs, text_col, size)
     text = docs.select(F.col(text_col).alias("text"))
     n = partitions(docs.sparkSession)
@@ -358,4 +358,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = sets.join(roots, sets["_set"] == roots["node"], "left").withColumn("_group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "_set"))).drop("node", "root", "_set")
     low = named.where("_group is not null").groupBy("_group").agg(F.min(id_col).alias("_low"))
     whole = named.join(low, "_group", "left").withColumn("component_id", F.coalesce("_low", F.col(id_col)))
-    return whole.drop("_group", "_low")
+    return (whole.withColumnRenamed("_group", group_col) if group_col else whole.drop("_group")).drop("_low")

@@ -21,9 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the group."""
-    grouped = jaccard.jaccard_components(docs)
-    return grouped.where(F.col("component_id") == F.col("doc_id")).select(*COLUMNS)
+    """One document of each group of near duplicates, and all without words, which are in no group.
+
+    It is the one whose id names the group; of several such (repeated rows, or null ids alone) the least row.
+    """
+    grouped = jaccard.jaccard_components(docs, group_col="_near").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Rows in no group are told apart by all they hold, and equal ones counted; partial sums keep a frequent row small.
+    row, alone = F.struct(*COLUMNS), F.col("_near").isNull()
+    picked = grouped.groupBy("_near", F.when(alone, row).alias("_own")).agg(F.min(row).alias("_row"), F.count("*").alias("_n"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.when(alone, F.col("_n")).otherwise(F.lit(1).cast("long"))))
+    return picked.select("_row", copies.alias("_k")).select("_row.*")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

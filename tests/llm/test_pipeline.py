@@ -39,3 +39,13 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == list(corpus_pipeline.COLUMNS) and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_one_document_of_each_group_stays_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(None, a), (None, a), (None, a + " end"), (7, b), (7, b), (7, b + " end"), (9, b), (None, b), (7, c), (8, None), (8, None), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(None, a), (7, b), (7, c), (8, None), (8, None), (None, " ")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
