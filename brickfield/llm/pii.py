@@ -9,7 +9,8 @@ character is mapped back to its source characters and added, unless a base span
 already covers it. Base spans always stay.
 
 Bare words such as ` at ` and ` dot ` are common in running text, so they count only together
-(name at host dot domain), and spelled digits only in runs of at least four that hold two names besides the articles.
+(name at host dot domain), and spelled digits only in runs of at least four that hold two names besides the articles,
+or as four octets with dots between them.
 
 Offsets are code points, ends exclusive. Defined results: a null text is the empty text and
 has no spans; spans of different kinds may overlap; redaction merges overlapping spans.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,6 +118,10 @@ _BOXED_DOT = re.compile(rf"\s?{_OPEN}\s?{_DOT_WORD}\s?{_SHUT}\s?|(?<=\w)\s?[_*]d
 _BARE = re.compile(r"(?<![\w.%+-])(?:[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+| (?:dot|punkt|punto|point) [A-Za-z0-9_%+-]+)*)( ?@ ?| at | arroba )[A-Za-z0-9-]+((?:(?: (?:dot|punkt|punto|point) |\.| \. )[A-Za-z0-9-]+)+)(?![\w-])", re.I)
 _BARE_DOT = re.compile(r" (?:dot|punkt|punto|point) | \. ", re.I)
 _IP_WORDS = re.compile(r"(?<![\w.])\d{1,3}(?: ?(?:dot|punkt|punto|point|\.) ?\d{1,3}){3}(?![\w.]*\d)", re.I)
+#: Four octets of one to three digits, by name or as figures, with dots between them by name, in brackets or as they are.
+_OCTET, _OCTET_DOT = rf"(?:{_NAME}|\d)(?:[ -]?(?:{_NAME}|\d)(?!\w)|\d){{0,2}}(?!\w)", rf"(?: (?:dot|punkt|punto|point) | ?{_OPEN} ?{_DOT_WORD} ?{_SHUT} ?| ?\. ?)"
+_SPELLED_IP = re.compile(rf"(?<![\w.]){_OCTET}(?:{_OCTET_DOT}{_OCTET}){{3}}(?!\.?\w)", re.I)
+_SPELLED_OCTET = re.compile(_OCTET, re.I)
 _BOX_HINT = re.compile(r"[\[({<_*]\s?(?:[aAcC][tTrRhH]|ä|Ä|@|[dDpP][oO0uU]|\.)")
 _DOT_NAMES = ("dot", "punkt", "punto", "point")
 #: Names that are no articles; a spelled run needs two of them.
@@ -148,12 +153,18 @@ class Rewriter:
             size += len(text)
 
         def keep(a: int, b: int) -> None:
-            while a < b:
-                k = bisect_right(self.starts, a) - 1
-                stop = min(b, self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text))
+            """Carries a to b over, with the empty pieces (removed characters) from a up to and at b."""
+            k = bisect_left(self.starts, a)
+            if k == len(self.starts) or self.starts[k] > a:
+                k -= 1
+            while k < len(self.starts) and self.starts[k] <= b:
+                begin = self.starts[k]
+                end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
+                x, y = max(a, begin), min(b, end)
                 lo, hi = self.sources[k]
-                put(self.text[a:stop], (lo, hi) if self.changed[k] else (lo + a - self.starts[k], lo + stop - self.starts[k]), self.changed[k])
-                a = stop
+                if x < y or begin == end and self.changed[k]:
+                    put(self.text[x:y], (lo, hi) if self.changed[k] else (lo + x - begin, lo + y - begin), self.changed[k])
+                k += 1
 
         for a, b, written in edits:
             keep(at, a)
@@ -186,6 +197,19 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _octet_edits(text: str) -> list[tuple[int, int, str]]:
+    """Octets of spelled addresses become figures; the dots between them are left to the dot rewriting."""
+    edits = []
+    for m in _SPELLED_IP.finditer(text):
+        if not any(n[0].lower() in _NAMES for n in _ONE_NAME.finditer(m[0])):
+            continue
+        for o in _SPELLED_OCTET.finditer(text, m.start(), m.end()):
+            written = _ONE_NAME.sub(lambda n: _DIGITS[n[0].lower()], o[0]).replace(" ", "").replace("-", "")
+            if written != o[0]:
+                edits.append((o.start(), o.end(), written))
+    return edits
+
+
 def _bare_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _BARE.finditer(text):
@@ -218,7 +242,7 @@ def _has_lookalike(text: str) -> bool:
 
 
 def _may_spell(lowered: str) -> bool:
-    for c in ",.()-":
+    for c in ",.()-[]{}<>":
         lowered = lowered.replace(c, " ")
     return not _NAMES.isdisjoint(lowered.split())
 
@@ -235,11 +259,14 @@ def normalise(text: str) -> Rewriter:
     r = Rewriter(text)
     if _has_lookalike(text):
         r.apply([(m.start(), m.end(), _HOMOGLYPHS[m[0]]) for m in _HOMOGLYPH.finditer(text)])
-    lowered = r.text.lower()
+    lowered, octets = r.text.lower(), []
     if _may_spell(lowered):
+        octets = _octet_edits(r.text)
+        r.apply(octets)
         r.apply(_spelled_edits(r.text))
+    if "plus " in lowered:
         r.apply([(m.start(), m.end(), "+") for m in _PLUS.finditer(r.text)])
-    if _may_hide(r.text, lowered):
+    if octets or _may_hide(r.text, lowered):
         r.apply([(m.start(), m.end(), "@") for m in _BOXED_AT.finditer(r.text)])
         r.apply([(m.start(), m.end(), ".") for m in _BOXED_DOT.finditer(r.text)])
         r.apply(_bare_edits(r.text))

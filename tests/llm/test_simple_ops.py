@@ -120,6 +120,32 @@ def test_pii_leaves_plain_text_alone(text):
     assert pii.find_private(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("john\u200b@example.com wrote x [at] y [dot] com", "email", "john\u200b@example.com"),
+        ("x [at] y [dot] com wrote to jo\u00adhn@example.com.", "email", "jo\u00adhn@example.com"),
+        ("john@exam\u200bple.com ring four four two zero seven nine", "email", "john@exam\u200bple.com"),
+        ("so one nine two dot one six eight dot zero dot one is up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("so one nine two [dot] 168 [dot] zero [dot] two five four, up", "ip", "one nine two [dot] 168 [dot] zero [dot] two five four"),
+        ("so one nine two.one six eight.zero.one is up", "ip", "one nine two.one six eight.zero.one"),
+        ("call plus 44 2079 460 958 now", "phone", "plus 44 2079 460 958"),
+    ],
+)
+def test_pii_two_disguises_and_short_spelled_runs(text, kind, found):
+    spans = pii.find_private(text)[1]
+    assert (kind, text.index(found), text.index(found) + len(found)) in spans
+    assert found not in pii.redact(text, spans)
+
+
+def test_pii_removed_characters_outside_a_match_do_not_mark_it():
+    for text in ("\u200bjohn@example.com\u200b and x [at] y [dot] com", "a\u200b john@example.com x [at] y [dot] com"):
+        at = text.index("john")
+        assert [s for s in pii.find_private(text)[1] if s[0] == "email"][0] == ("email", at, at + 16)
+    for text in ("nine dot one dot", "three hundred dot one two dot four four four dot one two dot one"):
+        assert pii.find_private(text)[1] == []
+
+
 def test_pii_rows(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "a@b.cd"), (3, "")], "doc_id long, text string").withColumn("spans", F.lit(0))
     got = sorted(rows(pii.find_pii(df).select("doc_id", "n_email", "spans", "redacted")), key=str)
