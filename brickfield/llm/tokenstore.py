@@ -111,13 +111,36 @@ def cut_points(ids: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int]
     return out
 
 
+#: The normaliser and splitter for which encode_slice's runs were checked; other tokenizers get whole texts.
+_CHECKED_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CHECKED_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_runs(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) is of the kind whose ids are those of its runs; added tokens must start with `<|` and hold no space."""
+    import json
+
+    t = json.loads(tokenizer)
+    plain = all(a["content"].startswith("<|") and not any(c.isspace() for c in a["content"]) and not (a["single_word"] or a["normalized"]) for a in t["added_tokens"])
+    return plain and t["normalizer"] == _CHECKED_NORMALIZER and t["pre_tokenizer"] == _CHECKED_SPLITTER and not t["truncation"] and not t["padding"]
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = json_tokenizer(path)
-    return Encoder(lambda chunks: [e.ids for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)], np.uint32, REMEMBERED)
+    runs = splits_at_runs(t.to_str())
+    encoder = Encoder(lambda chunks: [e.ids for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)], np.uint32, REMEMBERED if runs else 1)
+    encoder.runs = runs
+    return encoder
 
 
 _LETTER = np.zeros(256, bool)
@@ -135,15 +158,30 @@ def _letter_ends(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_ANY = np.ones(256, bool)
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII capitals lower-cased, except before a byte beyond ASCII: `H` and a combining mark need not compose as `h` and the mark do."""
+    capital = (data >= 65) & (data <= 90)
+    capital[:-1] &= data[1:] < 128
+    return data + (capital.astype(np.uint8) << 5)
+
+
 def encode_slice(data: np.ndarray, offs: np.ndarray, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each with END_ID behind it; where each begins, and the end).
 
-    The tokenizer drops white space and joins nothing over it, nor a letter with a mark or digit, and it
-    lower-cases; so runs of either are encoded apart, lower-cased. Slices that may hold a special token
-    (`<|`) keep their words whole and as they are.
+    The checked tokenizer drops white space and joins nothing over it, nor a letter with a mark or digit, and it
+    composes characters and then lower-cases; so runs of either are encoded apart, lower-cased but for capitals
+    before a character beyond ASCII, which may compose with it. Slices that may hold a special token
+    (`<|`) keep their words whole and as they are. Of other tokenizers a text is one run.
     """
-    special = b"<|" in data.tobytes()
-    w = scan(data, offs, NOT_SPACE, not special, None if special else _letter_ends(data))
+    if not encoder.runs:
+        w = scan(data, offs, _ANY)
+    elif b"<|" in data.tobytes():
+        w = scan(data, offs, NOT_SPACE)
+    else:
+        w = scan(_lowered(data), offs, NOT_SPACE, cuts=_letter_ends(data))
     raw = w.data.tobytes()
     ids, sizes = encoder.ids(w.hash, lambda k: raw[w.start[k] : w.end[k]])
     ends = np.concatenate([[0], np.cumsum(sizes)])[w.first]

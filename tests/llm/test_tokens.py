@@ -112,6 +112,36 @@ def test_word_runs_of_any_text(texts):
                 assert ids[a:b].tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_decomposed_capitals():
+    t = Tokenizer.from_file(WORDS)
+    texts = ["H\u0331", "AH\u0331", "T\u0308x W\u030a, Y\u030a J\u030c", "H\u0331-JAH\u0331", "plain WORDS of ASCII", "E\u0301A\u0300 S\u030cZ", "I\u0307 \u0130", "H"]
+    for more in ([], ["<|"]):
+        for _, _, data, offs in text_slices(pa.array([*texts, *more])):
+            ids, begins = tokenstore.encode_slice(data, offs, tokenstore._encoder(WORDS))
+            for a, b, text in zip(begins[:-1], begins[1:], [*texts, *more], strict=True):
+                assert ids[a:b].tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    for change in ("case", "token"):
+        with open(WORDS) as f:
+            made = json.load(f)
+        if change == "case":
+            made["normalizer"] = None
+        else:
+            made["added_tokens"].append(made["added_tokens"][0] | {"id": 49408, "content": "a b"})
+        path = tmp_path / f"{change}.json"
+        path.write_text(json.dumps(made))
+        t = Tokenizer.from_file(str(path))
+        texts = ["Mixed CASE Words, it's 12", "", None, "a b c", "x  <|endoftext|>"]
+        for _, _, data, offs in text_slices(pa.array(texts)):
+            ids, begins = tokenstore.encode_slice(data, offs, tokenstore._encoder(str(path)))
+            for a, b, text in zip(begins[:-1], begins[1:], texts, strict=True):
+                assert ids[a:b].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 def test_store_matches_the_library(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in queries.op8_token_store(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
