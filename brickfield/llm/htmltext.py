@@ -58,32 +58,80 @@ _GONE_NAMES = frozenset(
 )
 #: A class or id of one of these names outside an article; inside, such words name parts of it.
 _GONE_OUTSIDE = frozenset("header legal disclaimer topbar search form".split())
+#: Words that may stand beside such a name in one class or id (`site-footer`, `menu-left`); others (`has-sidebar`, `page-share`) make it another name.
+_BESIDE = frozenset("area bar block bottom box buttons container icons inner item items left links list outer panel posts right section site strip top wrap wrapper".split())
+#: Elements that go even if an article stands in them: their articles are comments, teasers or menus.
+_HOLDS_OTHERS = frozenset("comment comments commentlist disqus respond reply replies related recommended sidebar widget widgets".split())
+#: Elements that stay if the page's article stands in them, though they would go without.
+_AROUND = frozenset("form fieldset header".split())
+#: Elements that may stand in a head; any other one ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
+_STOP = re.compile("[>\"']")
+
+
+def _gone_names(names: str, gone: frozenset[str]) -> set[str]:
+    """The words of those classes and ids that are a name of `gone`, alone or with words that may stand beside it."""
+    out: set[str] = set()
+    for token in names.lower().split():
+        words = set(_WORDS.findall(token))
+        if words & gone and words <= gone | _BESIDE:
+            out |= words & gone
+    return out
 
 
-def _zone(tag: str, attributes: str, outer: int) -> int:
-    """Zone of an element's content, from its own markup and the zone it stands in."""
-    if outer == DROPPED or tag in _GONE:
+def _zone(tag: str, attributes: str, outer: int, around: bool = False) -> int:
+    """Zone of an element's content, from its own markup and the zone it stands in; around: whether an article or main stands in it."""
+    spared = around and outer < ARTICLE
+    if outer == DROPPED or tag in _GONE and not (spared and tag in _AROUND):
         return DROPPED
     zone = ARTICLE if tag == "article" else max(outer, MAIN) if tag == "main" else outer
     if attributes.strip():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         role = found.get("role", "").lower()
-        names = set(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
         style = found.get("style", "").replace(" ", "").lower()
-        if role in _GONE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            return DROPPED
-        if tag not in ("html", "body", "article", "main") and (names & _GONE_NAMES or outer < ARTICLE and names & _GONE_OUTSIDE):
+        if role in _GONE_ROLES and not (spared and role in ("form", "search")) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
             return DROPPED
+        if tag not in ("html", "body", "article", "main"):
+            names = _gone_names(f"{found.get('class', '')} {found.get('id', '')}", _GONE_NAMES if outer == ARTICLE else _GONE_NAMES | _GONE_OUTSIDE)
+            if names and not (spared and not names & _HOLDS_OTHERS):
+                return DROPPED
         if role in ("main", "article") or "articleBody" in found.get("itemprop", ""):
             zone = max(zone, MAIN if role == "main" else ARTICLE)
-    if tag == "header" and zone < ARTICLE:
+    if tag == "header" and zone < ARTICLE and not spared:
         return DROPPED
     return zone
 
 
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Behind the `>` that ends a tag whose attributes start at `at`; the first one if a quote isn't closed.
+
+    failed holds the opening quotes from which no end was found, so that a page is not searched again and again.
+    """
+    seen, p = [], at
+    while (m := _STOP.search(page, p)) and m.start() not in failed:
+        if m[0] == ">":
+            return m.end()
+        seen.append(m.start())
+        p = page.find(m[0], m.end()) + 1
+        if not p:
+            break
+    failed.update(seen)
+    return page.find(">", at) + 1
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the blocks that are not dropped and not empty, in page order."""
+    blocks, lost = _read_blocks(page, frozenset())
+    # An article or main was dropped with an element around it: such elements are judged anew, knowing what they hold.
+    return _read_blocks(page, lost)[0] if lost else blocks
+
+
+def _read_blocks(page: str, around: frozenset[int]) -> tuple[list[tuple[int, str]], frozenset[int]]:
+    """The blocks, and where the elements start in which an article or main is dropped; around: such elements of an earlier reading."""
     out: list[tuple[int, str]] = []
+    begins: list[int] = []
+    lost: set[int] = set()
+    failed: set[int] = set()
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
     zone, at, in_header = OPEN, 0, 0
@@ -105,6 +153,10 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             break
         at = m.end()
         closing, tag = (m[1] or m[4], (m[2] or m[5] or "").lower())
+        attributes = m[3] or m[6] or ""
+        if m[5]:
+            at = _tag_end(page, m.end(5), failed)
+            attributes = page[m.end(5) : at - 1]
         if not tag:
             continue
         if tag in _BLOCK:
@@ -116,23 +168,30 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                 if stack[k][0] == tag:
                     close_block() if tag not in _BLOCK and stack[k][1] != zone else None
                     zone = stack[k][1]
-                    del stack[k:]
+                    del stack[k:], begins[k:]
                     if in_header > len(stack):
                         in_header = 0
                     break
-        elif tag in _RAW:
+            continue
+        if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            zone = stack.pop()[1]
+            begins.pop()
+        if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in _VOID and not (m[3] or m[6] or "").endswith("/"):
-            inner = _zone(tag, m[3] or m[6] or "", zone)
+        elif tag not in _VOID and not attributes.endswith("/"):
+            if zone == DROPPED and tag in ("article", "main"):
+                lost.update(begins)
+            inner = _zone(tag, attributes, zone, m.start() in around)
             if inner != zone:
                 close_block()
             stack.append((tag, zone))
+            begins.append(m.start())
             zone = inner
             if tag == "header" and zone == ARTICLE and not in_header:
                 in_header = len(stack)
     close_block()
-    return out
+    return out, frozenset(lost)
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -51,6 +51,30 @@ def test_broken_markup():
     assert text_of("<article><p>x<div>y</article>z") == ["x\ny"]
 
 
+def test_articles_in_elements_with_other_names_stay():
+    story = "<article><p>Story</p></article>"
+    for page in (
+        f"<div class='content has-sidebar'>{story}</div>",
+        f"<div id='page-share'>{story}</div>",
+        f"<div class='menu'>{story}</div>",
+        f"<form action='/'>{story}</form>",
+        f"<html><head><title>T</title><meta charset='utf-8'><body>{story}",
+        f"<head><link rel='x'><div>{story}</div>",
+        f"<div class='banner'><main><p>Story</p></main></div>",
+    ):
+        assert text_of(page) == ["Story"], page
+    for page in ("<nav><article><p>x</p></article></nav>", "<div class='comments'><article><p>x</p></article></div>", "<div hidden><article><p>x</p></article></div>", "<div class='site-footer'><p>x</p></div>", "<form><p>x</p></form>"):
+        assert text_of(page) == [""], page
+
+
+def test_quoted_attributes_of_any_length():
+    for n in (100, 9000, 100_000):
+        for quote in "\"'":
+            assert text_of(f"<div data-x={quote}a > {'y' * n}{quote}><p>q</p></div>") == ["q"]
+    assert text_of('<p a="x>q') == ["q"]
+    htmltext.blocks_of('<a "<a >' * 20_001)
+
+
 @given(st.lists(st.integers(0, 3), max_size=60))
 def test_suffix_array(tokens):
     order, common = htmltext.suffix_array(np.array(tokens, np.int64))
