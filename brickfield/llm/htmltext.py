@@ -11,7 +11,8 @@ suffixes stand in at least MIN_PAGES different pages, and MIN_SHARE of them, is
 covered. A page's text is what its blocks keep: blocks inside an article are kept whole, since
 the markup says that they are the article even where pages share a passage; of other blocks only
 the runs of tokens that are not covered stay (a covered run that reaches less than RUN tokens
-into a block leaves it alone, unless it covers the block). If a page has an article, blocks outside it go, and likewise for <main>.
+into a block leaves it alone, unless it covers the block). That holds beside an article or
+<main> too; only where a host has fewer than MIN_PAGES different pages, so that nothing can be seen to repeat, text beside them goes by markup.
 
 A host with more than HOST_PAGES pages is dealt into groups of about that many by page id, so that no task
 holds a whole host; boilerplate shows in every group. Pages with equal blocks count once.
@@ -269,9 +270,13 @@ def _long_runs(gone: np.ndarray) -> np.ndarray:
 
 def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
     """The main text of each of a host's pages."""
-    out = []
+    out, different = [], set()
+    for blocks in pages:
+        different.add(tuple(blocks))
+        if len(different) == MIN_PAGES:
+            break
     for blocks, cover in zip(pages, covered_tokens([_stream(b) for b in pages]), strict=True):
-        best = max((z for z, _ in blocks), default=OPEN)
+        best = OPEN if len(different) >= MIN_PAGES else max((z for z, _ in blocks), default=OPEN)
         lines, at = [], 0
         for zone, text in blocks:
             n = text.count(" ") + 1

@@ -44,6 +44,13 @@ def test_article_passages_shared_by_pages_stay():
     assert text_of(*(f"<article><p>a{k}</p><p>{line}</p></article>" for k in range(5))) == [f"a{k}\n{line}" for k in range(5)]
 
 
+def test_unique_text_beside_an_article_stays_and_repeated_text_goes():
+    menu = "Home News Sports Weather Money Travel About us"
+    pages = [f"<div>{menu}</div><p>Lead w{k}a w{k}b of page {k}</p><article><p>Teaser {k}</p></article><div>{menu}</div>" for k in range(6)]
+    assert text_of(*pages) == [f"Lead w{k}a w{k}b of page {k}\nTeaser {k}" for k in range(6)]
+    assert text_of(*(p.replace("article>", "main>") for p in pages)) == [f"Lead w{k}a w{k}b of page {k}\nTeaser {k}" for k in range(6)]
+
+
 def test_broken_markup():
     for page in ["", "<", "a < b", "<p", '<p class="x', "<!--", "<script>", "<![CDATA[x", "</div></p>", "<p a='>'>q", "<article><p>x" + "<b>" * 2000, '<a "' * 2000]:
         htmltext.blocks_of(page)
