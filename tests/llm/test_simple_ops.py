@@ -64,6 +64,37 @@ def test_quality_edges(spark):
     assert quality.main_script("привет мир abc") == "cyrillic" and quality.main_script("漢字") == "cjk" and quality.main_script("12") == "other"
 
 
+RUNNING = {
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق، وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل فرد حق في الحياة والحرية وفي الأمان على شخصه.",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "thai": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ",
+    "devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "indic": "সমস্ত মানুষ স্বাধীনভাবে সমান মর্যাদা এবং অধিকার নিয়ে জন্মগ্রহণ করে। তাঁদের বিবেক এবং বুদ্ধি আছে; সুতরাং সকলেরই একে অপরের প্রতি ভ্রাতৃত্বসুলভ মনোভাব নিয়ে আচরণ করা উচিত।",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "cjk": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由。",
+    "armenian": "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն։",
+    "rare": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით.",
+}
+
+
+def test_quality_bands_of_other_scripts():
+    import random
+
+    from brickfield.llm.vocab import default_path, ranks_encoding
+
+    encoding, ranks = ranks_encoding(default_path("byte_bpe_multi_50k.tiktoken"))
+    fallback = quality._fallback_tokens(ranks)
+    kept = lambda t: quality.in_band(quality.main_script(t), *quality.measure(t, encoding, fallback))
+    for script, text in RUNNING.items():
+        assert quality.main_script(text) == script and kept(text), script
+    r = random.Random(5)
+    words = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(2, 8))) for _ in range(60))
+    points = lambda a, b: [chr(c) for c in range(a, b)]
+    soups = ["$%&|<>#*+=/\\^~{}[]()!?;:,.-_@", points(0x1F300, 0x1F640), points(0x13000, 0x13400), points(0x1F300, 0x1F640) + points(0x13000, 0x13100)]
+    soups += [points(*x) for x in ((0x621, 0x64B), (0x5D0, 0x5EB), (0xE01, 0xE2F), (0x905, 0x93A), (0xAC00, 0xD7A4), (0x4E00, 0xA000), (0x561, 0x587))]
+    assert [kept(words(s)) for s in soups] == [False] * len(soups)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
