@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import affine_inverse
+from ..functions.transforms import procrustes_moments
 from ..model import AXES, Geometry, affine, grid, rounded
 from .sample import XYZ, evaluate
 
@@ -148,6 +150,51 @@ def spline_of(source, target) -> tuple[np.ndarray, np.ndarray]:
     return a, np.linalg.lstsq(whole, np.vstack([b, np.zeros((4, 3))]), rcond=None)[0]
 
 
+def scaled_spline(centres, weights, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spline that goes a fraction of the way of another one."""
+    w = np.asarray(weights, float) * fraction
+    w[len(centres) + 1 :] += np.eye(3) * (1 - fraction)
+    return np.asarray(centres, float), w
+
+
+def inverted_linear(xfms: DataFrame) -> DataFrame:
+    """The inverse matrices of linear steps, flags cleared: an inverted step's matrix is its inverse already."""
+    m = [[F.element_at("matrix", 4 * r + c + 1) for c in range(4)] for r in range(3)]
+    back = F.array(*(x for row in affine_inverse(m) for x in row))
+    kept = F.when(F.col("invert_flag"), F.col("matrix")).otherwise(back)
+    return linear_part(xfms).withColumn("matrix", kept).withColumn("invert_flag", F.lit(False))
+
+
+def printed(xfms: DataFrame, by: str = "xfm_id") -> DataFrame:
+    """One line for each list of steps, in their order."""
+    steps = F.array_sort(F.collect_list(F.struct("seq", "type")))
+    return xfms.groupBy(by).agg(F.array_join(F.transform(steps, lambda s: F.concat_ws(":", s["seq"], s["type"])), " ").alias("line"))
+
+
+def centroid(points: DataFrame, by: str, names=XYZ) -> DataFrame:
+    return points.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"c{a}") for a, c in zip(XYZ, names, strict=True)))
+
+
+def procrustes_of(pairs: DataFrame, by: str, a=XYZ, b=("bx", "by", "bz")) -> DataFrame:
+    """Translation, centroid, rotation and scale that bring each group's points a onto b: one row of moments a group, then 3x3 algebra."""
+    n, s = F.count("*"), lambda c: F.sum(F.col(c))
+    cross = [(F.sum(F.col(p) * F.col(q)) - s(p) * s(q) / n).alias(f"m{j}{k}") for j, p in enumerate(a) for k, q in enumerate(b)]
+    spread = sum((F.sum(F.col(p) * F.col(p)) - s(p) * s(p) / n for p in a), F.lit(0.0)).alias("spread")
+    moments = pairs.groupBy(by).agg(n.alias("n"), *(F.avg(p).alias(f"c{x}") for p, x in zip(a, XYZ, strict=True)), *(F.avg(q).alias(f"d{x}") for q, x in zip(b, XYZ, strict=True)), *cross, spread)
+    turn = [f"r{r}{c}" for r in range(3) for c in range(3)]
+    schema = ", ".join([f"{by} {dict(moments.dtypes)[by]}", "n long", *(f"c{x} double" for x in XYZ), *(f"t{x} double" for x in XYZ), "scale double", *(f"{t} double" for t in turn)])
+
+    def run(parts):
+        for t in parts:
+            rows = []
+            for r in t.to_dict("records"):
+                shift, centre, rot, scale = procrustes_moments(r["n"], [r[f"c{x}"] for x in XYZ], [r[f"d{x}"] for x in XYZ], np.array([[r[f"m{j}{k}"] for k in range(3)] for j in range(3)]), r["spread"])
+                rows.append([r[by], r["n"], *centre, *shift, scale, *rot.ravel()])
+            yield t.__class__(rows, columns=[by, "n", *(f"c{x}" for x in XYZ), *(f"t{x}" for x in XYZ), "scale", *turn])
+
+    return moments.mapInPandas(run, schema)
+
+
 def scale_field(field: DataFrame, fraction: float) -> DataFrame:
     return field.withColumns({c: F.col(c) * fraction for c in DISPLACEMENT})
 

@@ -10,9 +10,8 @@ from ..functions import transforms as tr
 from ..model import AXES, Geometry, affine
 from ..operators import masks, nonlinear, optimise, sample, stencil, xfmops
 from ..sources import phantoms
-from .volume_queries import V, QUERIES as _ALL, SQL as _SQL, query, r6, table, volumes
+from .volume_queries import V, query, r6, table, volumes
 
-_BEFORE = set(_ALL)
 
 G16 = Geometry((16, 16, 16), (8.0, 8.0, 8.0), (-64.0, -64.0, -64.0))
 _GRID16 = "g AS (SELECT CAST(n // 256 AS INTEGER) AS i, CAST((n // 16) % 16 AS INTEGER) AS j, CAST(n % 16 AS INTEGER) AS k FROM range(4096) t(n))"
@@ -205,5 +204,3 @@ def nonlinear_step(spark, sf_dir):
     return nonlinear.nonlinear_fit(one, G16, two, G16, 32.0, nonlinear.Options(iterations=1, diameter=48.0, sub_nodes=3))[0]
 
 
-QUERIES = {k: v for k, v in _ALL.items() if k not in _BEFORE}
-SQL = {k: v for k, v in _SQL.items() if k in QUERIES}

@@ -1,13 +1,15 @@
-"""Collects the volume engine's queries and their SQL."""
+"""Collects the volume engine's queries and their SQL. Importing a module of queries registers them."""
 
 from __future__ import annotations
 
-from . import geometry_queries, volume_queries
+from . import geometry_queries, transform_queries, volume_queries
+
+MODULES = (volume_queries, geometry_queries, transform_queries)
 
 
 def queries() -> dict:
-    return {**volume_queries.QUERIES, **geometry_queries.QUERIES}
+    return dict(volume_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**volume_queries.SQL, **geometry_queries.SQL}
+    return dict(volume_queries.SQL)

@@ -155,6 +155,44 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
+TEXTS = "xfm_id string, text string"
+
+
+def format_xfms(xfms: DataFrame) -> DataFrame:
+    """(xfm_id, text) of each transform file: the steps of one id, in order of seq."""
+    names = XFMS.names
+    steps = F.array_sort(F.collect_list(F.struct("seq", *(c for c in names if c != "seq"))))
+    lists = xfms.select(names).groupBy("xfm_id").agg(steps.alias("steps"))
+
+    def run(parts):
+        for t in parts:
+            yield t.assign(text=[format_xfm([tuple(r[c] for c in names) for r in steps]) for steps in t["steps"]])[["xfm_id", "text"]]
+
+    return lists.mapInPandas(run, TEXTS)
+
+
+def parse_xfms(texts: DataFrame) -> DataFrame:
+    """Rows of XFMS from (xfm_id, text)."""
+    import pandas as pd
+
+    def run(parts):
+        for t in parts:
+            yield pd.DataFrame([r for k, x in zip(t["xfm_id"], t["text"], strict=True) for r in parse_xfm(x, k)], columns=XFMS.names)
+
+    return texts.select("xfm_id", "text").mapInPandas(run, XFMS)
+
+
+def write_xfms(xfms: DataFrame, path: str) -> None:
+    """A folder with one file for each transform, xfm_id=NAME below the path."""
+    format_xfms(xfms).repartition("xfm_id").write.partitionBy("xfm_id").text(path)
+
+
+def read_xfms(spark: SparkSession, path: str) -> DataFrame:
+    """All transform files of such a folder."""
+    texts = spark.read.schema("value string, xfm_id string").text(path, wholetext=True)
+    return parse_xfms(texts.select("xfm_id", F.col("value").alias("text")))
+
+
 def linear_matrix(xfm: DataFrame) -> np.ndarray:
     """The matrix of a file that holds one linear transform."""
     rows = xfm.limit(2).collect()
