@@ -6,6 +6,8 @@ import math
 import re
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..model import Geometry
 
@@ -57,13 +59,17 @@ def modify_bounds(bounds, how: str, amounts: list[str], step) -> list[tuple[floa
     return out
 
 
-def guess_subsample(step) -> list[float]:
-    """Steps under 1.5 doubled."""
+def guess_subsample(step):
+    """Steps under 1.5 doubled; of a column, or of a list of numbers."""
+    if isinstance(step, Column):
+        return F.when(F.abs(step) < 1.5, 2 * step).otherwise(step)
     return [2 * s if abs(s) < 1.5 else s for s in step]
 
 
-def guess_crop(extent: float, most: float = 190.0) -> float:
-    """What to take off the bottom so that the top `most` millimetres stay (a negative number, or 0)."""
+def guess_crop(extent, most: float = 190.0):
+    """What to take off the bottom so that the top `most` millimetres stay (a negative number, or 0); of a column or a number."""
+    if isinstance(extent, Column):
+        return F.when(extent > most, most - extent).otherwise(0.0)
     return most - extent if extent > most else 0.0
 
 

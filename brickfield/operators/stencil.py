@@ -320,6 +320,16 @@ def anisotropic_smooth(grid: DataFrame, confidence: list[Column], axes: list[lis
     return {c: F.col(c) + m for c, m in zip(DISPLACEMENT, move, strict=True)}
 
 
+def cubic_middle(df: DataFrame, axis: str, by: tuple[str, ...], t: float = 0.5, value: str = "value") -> DataFrame:
+    """middle, slope and bend: value, first and second derivative at t between each node and the next one, of the cubic
+    through four nodes of a line; null next to an end."""
+    w = Window.partitionBy(*by).orderBy(axis)
+    a, b, c, d = F.lag(value).over(w), F.col(value), F.lead(value).over(w), F.lead(value, 2).over(w)
+    terms = [2 * b, c - a, 2 * a - 5 * b + 4 * c - d, 3 * b - a - 3 * c + d]
+    power = lambda order: sum((x * float(math.perm(k, order) * t ** (k - order)) for k, x in enumerate(terms) if k >= order), F.lit(0.0)) / 2
+    return df.withColumns({n: power(k) for k, n in enumerate(("middle", "slope", "bend"))})
+
+
 def supersample_axis(df: DataFrame, axis: str, n: int, by=("vol",), value: str = "value") -> DataFrame:
     """Twice the nodes less one along an axis: (-a + 9 b + 9 c - d) / 16 between nodes, the mean next to an end."""
     a, c, d = (shifted(value, axis, x, by) for x in (-1, 1, 2))

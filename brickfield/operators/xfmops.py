@@ -220,10 +220,10 @@ def reverse_field(spark, field: DataFrame, g: Geometry, like: Geometry | None =
     return resample_field(spark, like or g, [{"type": "Grid_Transform", "field": field, "geometry": g, "invert_flag": True}])
 
 
-def field_lines(field: DataFrame, g: Geometry, times: float = 1.0) -> DataFrame:
+def field_lines(field: DataFrame, g: Geometry, times: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """A segment from each node to where it is moved."""
     a = affine(g.to_world(), *AXES)
-    return field.select(*(x.alias(f"{c}1") for x, c in zip(a, XYZ, strict=True)), *((x + F.col(d) * times).alias(f"{c}2") for x, c, d in zip(a, XYZ, DISPLACEMENT, strict=True)))
+    return field.select(*keep, *(x.alias(f"{c}1") for x, c in zip(a, XYZ, strict=True)), *((x + F.col(d) * times).alias(f"{c}2") for x, c, d in zip(a, XYZ, DISPLACEMENT, strict=True)))
 
 
 def tree_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -232,6 +232,26 @@ def tree_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(end(1), "a").join(end(2), "b")
 
 
+def line_points(lines: DataFrame, spacing: float) -> DataFrame:
+    """Points along each segment (x1..z2), its ends among them, no further apart than `spacing` on any axis."""
+    n = F.greatest(*(F.abs(F.col(f"{c}2") - F.col(f"{c}1")) for c in XYZ), F.lit(float(spacing)))
+    each = lines.withColumn("_n", F.ceil(n / spacing).cast("int")).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    return each.withColumns({c: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (F.col("_u") / F.col("_n")) for c in XYZ}).drop("_n", "_u")
+
+
+def surface_points(triangles: DataFrame, spacing: float) -> DataFrame:
+    """Points of each triangle (x1..z3), its corners among them: a lattice along two edges, fine enough for the spacing on every axis.
+
+    Polygons with more corners are fans of triangles.
+    """
+    sides = [F.abs(F.col(f"{c}{p}") - F.col(f"{c}{q}")) for c in XYZ for p, q in ((1, 2), (2, 3), (3, 1))]
+    n = F.ceil(F.greatest(*sides, F.lit(float(spacing))) / spacing).cast("int")
+    rows = triangles.withColumn("_n", n).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    each = rows.withColumn("_v", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_u"))))
+    at = {c: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (F.col("_u") / F.col("_n")) + (F.col(f"{c}3") - F.col(f"{c}1")) * (F.col("_v") / F.col("_n")) for c in XYZ}
+    return each.withColumns(at).drop("_n", "_u", "_v")
+
+
 def rasterise(points: DataFrame, g: Geometry, label: str = "label", order: str = "ord") -> DataFrame:
     """The label of the last object that touches each voxel."""
     at = points.withColumns(dict(zip(AXES, (rounded(c) for c in affine(g.to_voxel(), *XYZ)), strict=True)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as tr
 from ..model import AXES, Geometry, affine
-from ..operators import masks, nonlinear, optimise, sample, stencil, xfmops
+from ..operators import lattice, masks, nonlinear, optimise, sample, stencil, xfmops
 from ..sources import phantoms
 from .volume_queries import V, query, r6, table, volumes
 
@@ -52,8 +52,9 @@ def _moved(axis: int, x="i", y="j", z="k") -> str:
 
 
 _PTS = f"p AS (SELECT vol, i, j, k, {_moved(0)} AS x, {_moved(1)} AS y, {_moved(2)} AS z FROM v)"
-_NN = "p.x >= -0.5 AND p.x < 3.5 AND p.y >= -0.5 AND p.y < 3.5 AND p.z >= -0.5 AND p.z < 3.5"
-_NEAR = f"LEFT JOIN v n ON n.vol = p.vol AND {_NN} AND n.i = floor(p.x + 0.5) AND n.j = floor(p.y + 0.5) AND n.k = floor(p.z + 0.5)"
+_NN = "x >= -0.5 AND x < 3.5 AND y >= -0.5 AND y < 3.5 AND z >= -0.5 AND z < 3.5"
+_NEAR = f"""nn AS (SELECT p.vol, p.i, p.j, p.k, c.value FROM (SELECT vol, i, j, k, CAST(floor(x + 0.5) AS INTEGER) AS a, CAST(floor(y + 0.5) AS INTEGER) AS b, CAST(floor(z + 0.5) AS INTEGER) AS d FROM p WHERE {_NN}) p
+  JOIN v c ON c.vol = p.vol AND c.i = p.a AND c.j = p.b AND c.k = p.d)"""
 
 
 def _points(spark, sf_dir):
@@ -66,27 +67,32 @@ def _sampled(spark, sf_dir, how):
     return how(p, v, (4, 4, 4), "value", ("vol",)).select("vol", *AXES, r6(F.col("value")).alias("value"))
 
 
-@query(f"WITH {V}, {_PTS} SELECT p.vol, p.i, p.j, p.k, round(n.value, 6) + 0 AS value FROM p {_NEAR}")
+@query(f"WITH {V}, {_PTS}, {_NEAR} SELECT vol, i, j, k, round(nn.value, 6) + 0 AS value FROM p LEFT JOIN nn USING (vol, i, j, k)")
 def nn_resample(spark, sf_dir):
     return _sampled(spark, sf_dir, sample.nearest)
 
 
-def _weighted(low: int, high: int, weight: dict[int, str], cond: str, name: str) -> str:
-    w = " * ".join("CASE c.{a} - floor(p.{x}) ".format(a=a, x=x) + " ".join(f"WHEN {d} THEN {e.replace('t', f'(p.{x} - floor(p.{x}))')}" for d, e in weight.items()) + " END" for a, x in zip(AXES, "xyz", strict=True))
-    near = " AND ".join(f"c.{a} BETWEEN floor(p.{x}) + ({low}) AND floor(p.{x}) + {high}" for a, x in zip(AXES, "xyz", strict=True))
-    return f"{name} AS (SELECT p.vol, p.i, p.j, p.k, sum(c.value * {w}) AS s FROM p JOIN v c ON c.vol = p.vol AND {near} WHERE {cond} GROUP BY p.vol, p.i, p.j, p.k)"
+def _weighted(weight: dict[int, str], cond: str, name: str) -> str:
+    """Sums over the voxels around each point, named by their offsets."""
+    at = lambda t, x: t.replace("t", f"({x} - floor({x}))")
+    w = " * ".join(f"CASE o{a} " + " ".join(f"WHEN {d} THEN {at(e, x)}" for d, e in weight.items()) + " END" for a, x in zip(AXES, "xyz", strict=True))
+    offsets = f"(VALUES {', '.join(f'({d})' for d in weight)})"
+    grid = ", ".join(f"{offsets} t{a}(o{a})" for a in AXES)
+    where = ", ".join(f"CAST(floor({x}) + o{a} AS INTEGER) AS n{a}" for a, x in zip(AXES, "xyz", strict=True))
+    return f"""{name}w AS (SELECT vol, i, j, k, {where}, {w} AS w FROM p, {grid} WHERE {cond}),
+  {name} AS (SELECT n.vol, n.i, n.j, n.k, sum(c.value * w) AS s FROM {name}w n JOIN v c ON c.vol = n.vol AND c.i = n.ni AND c.j = n.nj AND c.k = n.nk GROUP BY ALL)"""
 
 
-_LIN = _weighted(0, 1, {0: "(1 - t)", 1: "t"}, " AND ".join(f"p.{x} >= 0 AND p.{x} < 3" for x in "xyz"), "l")
-_CUB = _weighted(-1, 2, {-1: "((-t + 2*t*t - t*t*t) / 2)", 0: "((2 - 5*t*t + 3*t*t*t) / 2)", 1: "((t + 4*t*t - 3*t*t*t) / 2)", 2: "((t*t*t - t*t) / 2)"}, " AND ".join(f"p.{x} >= 1 AND p.{x} < 2" for x in "xyz"), "q")
+_LIN = _weighted({0: "(1 - t)", 1: "t"}, " AND ".join(f"{x} >= 0 AND {x} < 3" for x in "xyz"), "l")
+_CUB = _weighted({-1: "((-t + 2*t*t - t*t*t) / 2)", 0: "((2 - 5*t*t + 3*t*t*t) / 2)", 1: "((t + 4*t*t - 3*t*t*t) / 2)", 2: "((t*t*t - t*t) / 2)"}, " AND ".join(f"{x} >= 1 AND {x} < 2" for x in "xyz"), "q")
 
 
-@query(f"WITH {V}, {_PTS}, {_LIN} SELECT p.vol, p.i, p.j, p.k, round(coalesce(l.s, n.value), 6) + 0 AS value FROM p {_NEAR} LEFT JOIN l ON l.vol = p.vol AND l.i = p.i AND l.j = p.j AND l.k = p.k")
+@query(f"WITH {V}, {_PTS}, {_NEAR}, {_LIN} SELECT vol, i, j, k, round(coalesce(l.s, nn.value), 6) + 0 AS value FROM p LEFT JOIN nn USING (vol, i, j, k) LEFT JOIN l USING (vol, i, j, k)")
 def trilinear_resample(spark, sf_dir):
     return _sampled(spark, sf_dir, sample.trilinear)
 
 
-@query(f"WITH {V}, {_PTS}, {_LIN}, {_CUB} SELECT p.vol, p.i, p.j, p.k, round(coalesce(q.s, l.s, n.value), 6) + 0 AS value FROM p {_NEAR} LEFT JOIN l ON l.vol = p.vol AND l.i = p.i AND l.j = p.j AND l.k = p.k LEFT JOIN q ON q.vol = p.vol AND q.i = p.i AND q.j = p.j AND q.k = p.k")
+@query(f"WITH {V}, {_PTS}, {_NEAR}, {_LIN}, {_CUB} SELECT vol, i, j, k, round(coalesce(q.s, l.s, nn.value), 6) + 0 AS value FROM p LEFT JOIN nn USING (vol, i, j, k) LEFT JOIN l USING (vol, i, j, k) LEFT JOIN q USING (vol, i, j, k)")
 def tricubic_resample(spark, sf_dir):
     return _sampled(spark, sf_dir, sample.tricubic)
 
@@ -148,8 +154,9 @@ def lattice_nodes(spark, sf_dir):
 
 @query("SELECT p_partkey, CASE WHEN abs(p_size / 20.0) < 1.5 THEN 2 * (p_size / 20.0) ELSE p_size / 20.0 END AS step, CASE WHEN p_retailprice > 1000 THEN 1000 - p_retailprice ELSE 0.0 END AS crop FROM part")
 def guess_subsample_and_crop(spark, sf_dir):
+    """Subsampling and cropping guessed for every extent."""
     step, extent = F.col("p_size") / 20.0, F.col("p_retailprice")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.abs(step) < 1.5, 2 * step).otherwise(step).alias("step"), F.when(extent > 1000, 1000 - extent).otherwise(0.0).alias("crop"))
+    return table(spark, sf_dir, "part").select("p_partkey", lattice.guess_subsample(step).alias("step"), lattice.guess_crop(extent, 1000.0).alias("crop"))
 
 
 @query(f"WITH {V}, {_PTS} SELECT vol, i, j, k, round(x - i, 6) + 0 AS dx, round(y - j, 6) + 0 AS dy, round(z - k, 6) + 0 AS dz, round(sqrt(pow(x - i, 2) + pow(y - j, 2) + pow(z - k, 2)), 6) + 0 AS magnitude FROM p")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry_queries, transform_queries, volume_queries
+from . import file_queries, geometry_queries, transform_queries, volume_queries
 
-MODULES = (volume_queries, geometry_queries, transform_queries)
+MODULES = (volume_queries, geometry_queries, transform_queries, file_queries)
 
 
 def queries() -> dict:

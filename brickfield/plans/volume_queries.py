@@ -372,25 +372,14 @@ def extrapolate(spark, sf_dir):
     return stencil.extrapolate(_field(spark, sf_dir)).select("vol", *AXES, r6(F.col("dx")).alias("dx"))
 
 
-def _at(*d: int) -> str:
-    return "s.value".replace("s", "p" + "".join({-1: "m", 0: "z", 1: "p"}[x] for x in d))
-
-
-def _derivative_joins(offsets) -> str:
-    name = lambda d: "p" + "".join({-1: "m", 0: "z", 1: "p"}[x] for x in d)
-    return " ".join(f"LEFT JOIN v {name(d)} ON {name(d)}.vol = c.vol AND " + " AND ".join(f"{name(d)}.{a} = c.{a} + ({x})" for a, x in zip(AXES, d, strict=True)) for d in offsets)
-
-
-_D1 = {"u": (1, 0, 0), "v": (0, 1, 0), "w": (0, 0, 1)}
-_AXIS_OFFSETS = [tuple(s * x for x in d) for d in _D1.values() for s in (-1, 1)]
-_MIXED = {"uv": ((1, 1, 0), (1, -1, 0)), "uw": ((1, 0, 1), (1, 0, -1)), "vw": ((0, 1, 1), (0, 1, -1))}
-_MIXED_OFFSETS = [tuple(s * x for x in d) for pair in _MIXED.values() for d in pair for s in (-1, 1)]
-_neg = lambda d: tuple(-x for x in d)
-_DERIVED = {n: f"({_at(*d)} - {_at(*_neg(d))}) / 2" for n, d in _D1.items()}
-_DERIVED |= {n * 2: f"{_at(*d)} - 2 * c.value + {_at(*_neg(d))}" for n, d in _D1.items()}
-_DERIVED |= {n: f"(({_at(*a)} - {_at(*_neg(b))}) / 2 - ({_at(*b)} - {_at(*_neg(a))}) / 2) / 2" for n, (a, b) in _MIXED.items()}
-_DER = f"d AS (SELECT c.vol, c.i, c.j, c.k, c.value, {', '.join(f'{e} AS {n}' for n, e in _DERIVED.items())} FROM v c {_derivative_joins(_AXIS_OFFSETS + _MIXED_OFFSETS)})"
-_NAMES9 = tuple(_DERIVED)
+_WINDOWS = ", ".join(f"l{a} AS (PARTITION BY vol, {', '.join(x for x in AXES if x != a)} ORDER BY {a})" for a in AXES)
+_D1 = dict(zip("uvw", AXES, strict=True))
+_DERIVED = {n: f"(lead(value) OVER l{a} - lag(value) OVER l{a}) / 2" for n, a in _D1.items()}
+_DERIVED |= {n * 2: f"lead(value) OVER l{a} - 2 * value + lag(value) OVER l{a}" for n, a in _D1.items()}
+_MIXED = {"uv": ("u", "j"), "uw": ("u", "k"), "vw": ("v", "k")}
+_DER = f"""d1 AS (SELECT vol, i, j, k, value, {', '.join(f'{e} AS {n}' for n, e in _DERIVED.items())} FROM v WINDOW {_WINDOWS}),
+  d AS (SELECT *, {', '.join(f'(lead({c}) OVER l{a} - lag({c}) OVER l{a}) / 2 AS {n}' for n, (c, a) in _MIXED.items())} FROM d1 WINDOW {_WINDOWS})"""
+_NAMES9 = (*_DERIVED, *_MIXED)
 
 
 @query(f"WITH {V}, {_DER} SELECT vol, i, j, k, {', '.join(f'round({n}, 6) + 0 AS {n}' for n in _NAMES9)} FROM d")

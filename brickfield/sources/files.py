@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,24 @@ def feature_pairs(pairs: Iterable[dict]) -> list[dict]:
     return out
 
 
+OBJECTIVE_NAMES = ("xcorr", "diff", "sqdiff", "label", "chamfer", "corrcoeff", "opticalflow")
+
+
+def objective_of(name: Column) -> Column:
+    """The objective that a feature pair's option means: names count by their first two letters; null for any other, xcorr if none is given."""
+    start = F.lower(F.substring(name, 1, 2))
+    out = F.when(name.isNull(), "xcorr")
+    for n in OBJECTIVE_NAMES:
+        out = out.when(start == n[:2], n)
+    return out
+
+
+def feature_table(pairs: DataFrame) -> DataFrame:
+    """The registry of feature pairs as a table: objectives resolved, weights 1 and thresholds 0 where not given."""
+    given = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in pairs.columns else F.lit(default)
+    return pairs.withColumns({"objective": objective_of(F.col("objective")), "weight": given("weight", 1.0), "thresh_data": given("thresh_data", 0.0), "thresh_model": given("thresh_model", 0.0)})
+
+
 def parse_xfm(text: str, name: str = "xfm") -> list[tuple]:
     """Rows of XFMS. The file is statements ended by `;`, comments from % on."""
     body = re.sub(r"%[^\n]*", "", text)
@@ -206,13 +224,13 @@ def linear_matrix(xfm: DataFrame) -> np.ndarray:
 _TAG_LINE = r"^\s*((?:[-+0-9.eE]+\s+){2,5}[-+0-9.eE]+)"
 
 
-def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Landmark pairs; files of one volume have null second points."""
+def read_tags(spark: SparkSession, path: str, *keep: str) -> DataFrame:
+    """Landmark pairs; files of one volume have null second points. keep: columns that the folder's names give."""
     body = F.regexp_extract("value", r"(?s)Points\s*=(.*?);", 1)
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(body, "\n")).alias("line"))
+    lines = spark.read.text(path, wholetext=True).select(*keep, F.explode(F.split(body, "\n")).alias("line"))
     numbers = F.split(F.trim(F.regexp_extract("line", _TAG_LINE, 1)), r"\s+")
-    found = lines.where(F.regexp_extract("line", _TAG_LINE, 1) != "").select(numbers.alias("n"), F.regexp_extract("line", r'"([^"]*)"', 1).alias("label"))
-    return found.select(*(F.try_element_at("n", F.lit(k + 1)).cast("double").alias(c) for k, c in enumerate(TAGS.names[:6])), "label")
+    found = lines.where(F.regexp_extract("line", _TAG_LINE, 1) != "").select(*keep, numbers.alias("n"), F.regexp_extract("line", r'"([^"]*)"', 1).alias("label"))
+    return found.select(*keep, *(F.try_element_at("n", F.lit(k + 1)).cast("double").alias(c) for k, c in enumerate(TAGS.names[:6])), "label")
 
 
 def format_tags(rows: Iterable[tuple]) -> str:
@@ -222,6 +240,81 @@ def format_tags(rows: Iterable[tuple]) -> str:
     return f"MNI Tag Point File\nVolumes = {2 if two else 1};\n\nPoints =\n{body};\n"
 
 
+def tag_files(tags: DataFrame, by: str) -> DataFrame:
+    """(by, text) of a tag file for each group of landmark pairs, points in the order of their columns."""
+    two = F.max(F.col("x2").isNotNull())
+    line = lambda n: F.concat(F.lit(" "), F.concat_ws(" ", *(F.col(f"{a}{k}").cast("string") for k in range(1, n + 1) for a in "xyz")), F.lit(' "'), F.coalesce("label", F.lit("")), F.lit('"'))
+    lines = lambda n: F.array_join(F.array_sort(F.collect_list(line(n))), "\n")
+    body = F.when(two, lines(2)).otherwise(lines(1))
+    head = F.concat(F.lit("MNI Tag Point File\nVolumes = "), F.when(two, "2").otherwise("1"), F.lit(";\n\nPoints =\n"))
+    return tags.groupBy(by).agg(F.concat(head, body, F.lit(";\n")).alias("text"))
+
+
+def write_tag_files(tags: DataFrame, by: str, path: str) -> None:
+    tag_files(tags, by).repartition(by).write.partitionBy(by).text(path)
+
+
+def option_table(texts: DataFrame, order: str = "ord", text: str = "text") -> DataFrame:
+    """(name, value) of all options of files in an order; later lines and later files win."""
+    lines = texts.select(order, F.posexplode(F.split(F.col(text), "\n")).alias("_n", "_line"))
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("_line", "#.*", ""), "=", " ")), r"\s+")
+    named = lines.withColumn("_w", words).where(F.element_at("_w", 1) != "")
+    value = F.array_join(F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), " ")
+    return named.groupBy(F.regexp_replace(F.element_at("_w", 1), "^-+", "").alias("name")).agg(F.max_by(value, F.struct(order, "_n")).alias("value"))
+
+
+_NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of points, six numbers on a line; other lines are skipped."""
+    lines = spark.read.text(path).select(F.regexp_extract_all("value", F.lit(f"({_NUMBER})"), 1).alias("n")).where(F.size("n") >= 6)
+    return lines.select(*(F.element_at("n", k + 1).cast("double").alias(f"{a}{b}") for k, (b, a) in enumerate((b, a) for b in (1, 2) for a in "xyz")))
+
+
+def read_grid_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Scattered nodes and their displacements from text: x y z dx dy dz on a line."""
+    return read_points(spark, path).toDF("x", "y", "z", "dx", "dy", "dz")
+
+
+def without_zeros(voxels: DataFrame, columns=("value",), least: float = 1e-6) -> DataFrame:
+    """Exact zeros, which would divide, become a very small value."""
+    return voxels.withColumns({c: F.when(F.col(c) == 0, least).otherwise(F.col(c)) for c in columns})
+
+
+def with_history(voxels: DataFrame, argv: list[str], when: str = "", column: str = "value") -> DataFrame:
+    """The command line behind the history that the table's column carries; Parquet keeps it."""
+    had = history_of(voxels, column)
+    return voxels.withMetadata(column, {"history": "\n".join(x for x in (had, history(argv, when)) if x)})
+
+
+def history_of(voxels: DataFrame, column: str = "value") -> str:
+    return voxels.schema[column].metadata.get("history", "")
+
+
+def write_snapshot(df: DataFrame, base: str, iteration: int) -> None:
+    """The state after an iteration, below base/iteration=N."""
+    df.write.mode("overwrite").parquet(f"{base}/iteration={iteration}")
+
+
+def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(base)
+
+
+def evaluation_log(evaluations: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Numbers evaluations of an objective in their order, with the best value so far."""
+    w = Window.orderBy(*order)
+    return evaluations.withColumns({"evaluation": F.row_number().over(w), "best": F.min(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+
+
+def same_shape(volumes: DataFrame, by: str = "vol") -> DataFrame:
+    """Whether each volume has as many voxels along every axis as the first one by name."""
+    shape = volumes.groupBy(by).agg(*((F.max(a) + 1).alias(f"n{a}") for a in ("i", "j", "k")))
+    first = shape.agg(*(F.min_by(f"n{a}", by).alias(f"f{a}") for a in ("i", "j", "k")))  # one row
+    ok = (F.col("ni") == F.col("fi")) & (F.col("nj") == F.col("fj")) & (F.col("nk") == F.col("fk"))
+    return shape.crossJoin(F.broadcast(first)).select(by, "ni", "nj", "nk", ok.alias("ok"))
+
+
 def read_options(texts: Iterable[str]) -> dict[str, list[str]]:
     """Option files: `name value ...` lines, # comments; later files win."""
     out: dict[str, list[str]] = {}
