@@ -215,3 +215,31 @@ def unpacked(values, weights, free, vector: Column) -> list[Column]:
     if sum(map(bool, free)) == 7:
         out[7] = out[8] = out[6]
     return out
+
+
+def symmetric_eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> list[Column]:
+    """Eigenvalues of a symmetric 3x3 matrix, largest first, by the cosines of a third of an angle."""
+    mean = (xx + yy + zz) / 3
+    spread = F.sqrt(((xx - mean) ** 2 + (yy - mean) ** 2 + (zz - mean) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
+    a, b, c = xx - mean, yy - mean, zz - mean
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    half = F.when(spread > 0, det / (2 * spread * spread * spread)).otherwise(0.0)
+    angle = F.acos(F.least(F.greatest(half, F.lit(-1.0)), F.lit(1.0))) / 3
+    first, last = mean + 2 * spread * F.cos(angle), mean + 2 * spread * F.cos(angle + 2 * math.pi / 3)
+    return [first, 3 * mean - first - last, last]
+
+
+def folded(m: Matrix, step1, start1, step2, start2) -> Matrix:
+    """Voxel of volume 1 to world, through a transform, to voxel of volume 2, as one matrix; grids along the axes."""
+    out = []
+    for r in range(3):
+        row = [m[r][c] * float(step1[c]) / float(step2[r]) for c in range(3)]
+        shift = (dot(m[r][:3], [F.lit(float(x)) for x in start1]) + m[r][3] - float(start2[r])) / float(step2[r])
+        out.append([*row, shift])
+    return out
+
+
+def moved_bounds(m: Matrix, low, high) -> tuple[list[Column], list[Column]]:
+    """Smallest and largest coordinates of a box's eight corners after a transform."""
+    corners = [moved(m, [(low, high)[b][k] for k, b in enumerate(bits)]) for bits in ((x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1))]
+    return [F.least(*(c[k] for c in corners)) for k in range(3)], [F.greatest(*(c[k] for c in corners)) for k in range(3)]

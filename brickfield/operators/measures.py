@@ -197,11 +197,18 @@ def argmax_label(classes: DataFrame) -> DataFrame:
     return classes.groupBy(*AXES).agg(F.when(F.max("value") > 0, best).otherwise(0).alias("label"))
 
 
-def label_moments(voxels: DataFrame) -> DataFrame:
-    """Size, centre and covariance of every label above 0."""
+def extreme_cells(voxels: DataFrame, size, by: str = "vol") -> DataFrame:
+    """Raster numbers of the smallest and the largest value's cell of each volume, the first of equal ones."""
+    raster = ((F.col("i") * size[1] + F.col("j")) * size[2] + F.col("k")).cast("int")
+    return voxels.groupBy(by).agg(F.min_by(raster, F.struct("value", raster)).alias("lowest"), F.max_by(raster, F.struct(F.col("value"), -raster)).alias("highest"))
+
+
+def label_moments(voxels: DataFrame, least: float | None = 0.0) -> DataFrame:
+    """Size, centre and covariance of every label above `least` (None: all)."""
     at = [F.col(a).cast("double") for a in AXES]
     one = F.lit(1.0)
-    return voxels.where("value > 0").groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n"), *centre_of_gravity(*at, one), *covariance(*at, one))
+    live = voxels if least is None else voxels.where(F.col("value") > least)
+    return live.groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n"), *centre_of_gravity(*at, one), *covariance(*at, one))
 
 
 def feature_threshold(v: Column, t: float = 0.0) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..model import AXES, Geometry, affine, grid
 from . import measures
 from .sample import XYZ, nearest, sub_lattice, transformed, trilinear
-from .stencil import DISPLACEMENT, extrapolate, quadratic_step, smooth
+from .stencil import DISPLACEMENT, extrapolate, neighbour_mean, quadratic_step, smooth
 from .xfmops import grid_forward
 
 
@@ -44,6 +44,18 @@ def objective_option(name: str) -> str:
     return name if name in OBJECTIVE_NAMES else "xcorr"
 
 
+def objective_column(name: Column) -> Column:
+    """The same for a column of names."""
+    return F.when(name.isin(*OBJECTIVE_NAMES), name).otherwise("xcorr")
+
+
+def start_from_neighbours(field: DataFrame, by=("vol",)) -> DataFrame:
+    """sx, sy, sz: the six neighbours' mean displacement less a node's own, where its search starts; 0 without neighbours."""
+    m = neighbour_mean(field, DISPLACEMENT, 6, by)
+    out = {f"s{c[1]}": F.when(F.col("n_neighbours") > 0, F.col(f"mean_{c}") - F.col(c)).otherwise(0.0) for c in DISPLACEMENT}
+    return m.withColumns(out).drop("n_neighbours", *(f"mean_{c}" for c in DISPLACEMENT))
+
+
 def optical_flow(v1: Column, v2: Column, slopes: list[Column], spread: float) -> list[Column]:
     """(v1 - v2) / slope on each axis whose slope is over 2 % of the range; else 0."""
     return [F.when(F.abs(s) > 0.02 * spread, (v1 - v2) / s).otherwise(0.0) for s in slopes]
@@ -65,7 +77,7 @@ def node_shifts(field: DataFrame, g: Geometry, source: DataFrame, source_g: Geom
     raster = (F.col("i").cast("long") * g.size[1] + F.col("j")) * g.size[2] + F.col("k")
     world = affine(g.to_world(), *AXES)
     nodes = field.select(raster.alias("node"), *AXES, *DISPLACEMENT, *(w.alias(c) for w, c in zip(world, XYZ, strict=True)))
-    points = sub_lattice(nodes, (o.diameter,) * 3, o.sub_nodes).withColumn("pid", F.col("node") * 1000 + F.col("point"))
+    points = sub_lattice(nodes, (o.diameter,) * 3, o.sub_nodes).withColumn("pid", F.col("node") * max(1, o.sub_nodes) ** 3 + F.col("point"))
     near = nearest(transformed(points, source_g.to_voxel()), source, source_g.size, "v1").where(F.col("v1") > o.threshold)
     back = source_g.to_world()
     live = near.withColumns(dict(zip(XYZ, affine(back, *XYZ), strict=True)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..model import AXES, Geometry, affine, grid, rounded
 
 XYZ = ("x", "y", "z")
+OUTSIDE = -1.7976931348623157e308
 
 
 def _indexed(voxels: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
@@ -89,9 +90,49 @@ def tricubic(points: DataFrame, voxels: DataFrame, size, out: str = "sample", by
     return rest.join(inner, ["pid", *by], "left").withColumn(out, F.coalesce("_cubic", "_linear")).drop("_cubic", "_linear")
 
 
+def _quadratic_weight(t: Column, d: int) -> Column:
+    """The quadratic spline through a voxel and its two neighbours; t is measured from the voxel, -0.5 to 0.5."""
+    u = t + 0.5
+    return {-1: (1 - u) * (1 - u) / 2, 0: (1 + 2 * u - 2 * u * u) / 2, 1: u * u / 2}[d]
+
+
+def triquadratic(points: DataFrame, voxels: DataFrame, size, out: str = "sample", by: tuple[str, ...] = ()) -> DataFrame:
+    """Quadratic spline over 27 voxels around the nearest one; trilinear near the edge, nearest at it."""
+    inside = F.lit(True)
+    for c, n in zip(XYZ, size, strict=True):
+        inside = inside & (F.col(c) >= 0.5) & (F.col(c) < n - 1.5)
+    live = points.where(inside).select("pid", *by, *XYZ)
+    spans = {c: F.array(*(F.struct(F.lit(d).alias("d"), _quadratic_weight(F.col(c) - rounded(F.col(c)), d).alias("w")) for d in (-1, 0, 1))) for c in XYZ}
+    for a, c in zip(AXES, XYZ, strict=True):
+        live = live.withColumn(f"_s{a}", F.explode(spans[c])).withColumn(f"_{a}", (rounded(F.col(c)) + F.col(f"_s{a}.d")).cast("int"))
+    met = live.join(_indexed(voxels, by=by), [*by, "_i", "_j", "_k"])
+    inner = met.groupBy("pid", *by).agg(F.sum(F.col("_si.w") * F.col("_sj.w") * F.col("_sk.w") * F.col("_v")).alias("_quadratic"))
+    rest = trilinear(points, voxels, size, "_linear", by)
+    return rest.join(inner, ["pid", *by], "left").withColumn(out, F.coalesce("_quadratic", "_linear")).drop("_quadratic", "_linear")
+
+
+def point_value(points: DataFrame, voxels: DataFrame, size, out: str = "sample", by: tuple[str, ...] = ()) -> DataFrame:
+    """The trilinear value, or the most negative double outside the inner box."""
+    inner = _gather(points.where(inside_linear(size)), voxels, 0, 1, _linear_weight, out, by)
+    return points.join(inner, ["pid", *by], "left").withColumn(out, F.coalesce(F.col(out), F.lit(OUTSIDE)))
+
+
+def bicubic_slice(points: DataFrame, voxels: DataFrame, size, out: str = "sample", by: tuple[str, ...] = ()) -> DataFrame:
+    """Catmull-Rom over 16 voxels within the nearest slice along z; null outside the inner box of the slice."""
+    inside = (F.col("z") >= -0.5) & (F.col("z") < size[2] - 0.5)
+    for c, n in zip(XYZ[:2], size[:2], strict=True):
+        inside = inside & (F.col(c) >= 1) & (F.col(c) < n - 2)
+    live = points.where(inside).select("pid", *by, *XYZ).withColumn("_k", rounded(F.col("z")))
+    for a, c in zip(AXES[:2], XYZ[:2], strict=True):
+        span = F.array(*(F.struct(F.lit(d).alias("d"), _cubic_weight(F.col(c) - F.floor(c), d).alias("w")) for d in (-1, 0, 1, 2)))
+        live = live.withColumn(f"_s{a}", F.explode(span)).withColumn(f"_{a}", (F.floor(c) + F.col(f"_s{a}.d")).cast("int"))
+    met = live.join(_indexed(voxels, by=by), [*by, "_i", "_j", "_k"]).groupBy("pid", *by).agg(F.sum(F.col("_si.w") * F.col("_sj.w") * F.col("_v")).alias(out))
+    return points.join(met, ["pid", *by], "left")
+
+
 def evaluate(points: DataFrame, voxels: DataFrame, size, degree: int, out: str = "sample", by: tuple[str, ...] = ()) -> DataFrame:
-    """Degree -1 nearest, 0 trilinear, 2 tricubic; each falls back near edges."""
-    return {-1: nearest, 0: trilinear, 2: tricubic}[degree](points, voxels, size, out, by)
+    """Degree -1 nearest, 0 trilinear, 1 quadratic, 2 tricubic; each falls back near edges."""
+    return {-1: nearest, 0: trilinear, 1: triquadratic, 2: tricubic}[degree](points, voxels, size, out, by)
 
 
 def evaluate_world(points: DataFrame, voxels: DataFrame, g: Geometry, degree: int = 0, out: str = "sample") -> DataFrame:
@@ -174,36 +215,48 @@ def target_lattice(points: DataFrame, matrix: np.ndarray, fine: DataFrame | None
     return transformed(shifted.drop("dx", "dy", "dz"), matrix)
 
 
-def nearest_object(sources: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
-    """Distance of each source point (pid, x, y, z) to its nearest target point.
+def nearest_object(sources: DataFrame, targets: DataFrame, cell: float | None = None) -> DataFrame:
+    """Distance of each source point (pid, x, y, z) to its nearest target point; null for a point that isn't finite, or without targets."""
+    from .scattered import nearest_nodes
 
-    Targets are hashed into cells; a point looks into its own and the 26 around it, and points that find nothing
-    within one cell's width look again at twice the width, until all have found.
-    """
-    left = sources
-    found = None
-    while True:
-        of = lambda c, w: F.floor(F.col(c) / w).cast("long")
-        near = F.array(*(F.struct(*(F.lit(d).alias(a) for d, a in zip(o, "abc", strict=True))) for o in itertools.product((-1, 0, 1), repeat=3)))
-        probes = left.select("*", F.explode(near).alias("_o")).select("*", *((of(c, cell) + F.col(f"_o.{a}")).alias(f"_{a}") for a, c in zip("abc", XYZ, strict=True))).drop("_o")
-        cells = targets.select(*(F.col(c).alias(f"_t{c}") for c in XYZ), *(of(c, cell).alias(f"_{a}") for a, c in zip("abc", XYZ, strict=True)))
-        d2 = sum((F.col(c) - F.col(f"_t{c}")) ** 2 for c in XYZ)
-        best = probes.join(cells, ["_a", "_b", "_c"]).groupBy("pid").agg(F.sqrt(F.min(d2)).alias("distance")).where(F.col("distance") <= cell)
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select("pid"), "pid", "left_anti").checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.join(best.select("pid"), "pid", "left_anti")
-        if left.isEmpty() or targets.isEmpty():
-            return sources.join(found, "pid", "left")
-        cell *= 2
+    nodes = targets.select(F.monotonically_increasing_id().alias("node"), *XYZ)
+    return sources.join(nearest_nodes(sources, nodes, 1, cell).select("pid", "distance"), "pid", "left")
 
 
-def nearest_line(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distance of each point to the nearest segment (x1..z2) of lines; the lines are a small, broadcastable set of objects."""
-    a, b = [F.col(f"{c}1") for c in XYZ], [F.col(f"{c}2") for c in XYZ]
-    p = [F.col(c) for c in XYZ]
+def _to_segment() -> Column:
+    """Squared distance of x, y, z to the segment x1..z2."""
+    a, b, p = [F.col(f"{c}1") for c in XYZ], [F.col(f"{c}2") for c in XYZ], [F.col(c) for c in XYZ]
     ab2 = sum((y - x) * (y - x) for x, y in zip(a, b, strict=True))
     t = F.when(ab2 == 0, 0.0).otherwise(F.least(F.greatest(sum((q - x) * (y - x) for q, x, y in zip(p, a, b, strict=True)) / ab2, F.lit(0.0)), F.lit(1.0)))
-    d2 = sum((q - (x + t * (y - x))) ** 2 for q, x, y in zip(p, a, b, strict=True))
-    return points.join(lines.select(*(f"{c}{n}" for n in (1, 2) for c in XYZ)), how="cross").groupBy("pid").agg(F.sqrt(F.min(d2)).alias("distance"))
+    return sum((q - (x + t * (y - x))) ** 2 for q, x, y in zip(p, a, b, strict=True))
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, cell: float, most: int = 64) -> DataFrame:
+    """Distance of each point (pid, x, y, z) to the nearest segment (x1..z2); null for one that isn't finite, or without lines.
+
+    A segment lies in the cells that its points, a cell's width apart at most, fall into, and in those around them, so that
+    every segment within a width of a point shares its cell. Points that find none within a width look again at twice the width.
+    """
+    from .scattered import _cells, _cut, finite
+
+    segments = finite(lines.select(*(f"{c}{n}" for n in (1, 2) for c in XYZ)), [f"{c}{n}" for n in (1, 2) for c in XYZ])
+    left, found = finite(points).select("pid", *XYZ), None
+    around = F.array(*(F.struct(*(F.lit(d).alias(a) for a, d in zip("abc", o, strict=True))) for o in itertools.product((-1, 0, 1), repeat=3)))
+    live = not segments.isEmpty()
+    for _ in range(most if live else 0):
+        if left.isEmpty():
+            break
+        n = F.ceil(F.greatest(*(F.abs(F.col(f"{c}2") - F.col(f"{c}1")) for c in XYZ)) / cell)
+        along = segments.withColumn("_n", F.greatest(n, F.lit(1))).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+        at = {f"_l{c}": F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (F.col("_u") / F.col("_n")) for c in XYZ}
+        near = _cells(along.withColumns(at), cell, [f"_l{c}" for c in XYZ], "_p").withColumn("_o", F.explode(around))
+        own = near.select(*segments.columns, *((F.col(f"_p{a}") + F.col(f"_o.{a}")).alias(f"_{a}") for a in "abc")).distinct()
+        met = _cells(left, cell, XYZ, "_").join(own, ["_a", "_b", "_c"])
+        best = _cut(met.groupBy("pid").agg(F.sqrt(F.min(_to_segment())).alias("distance")).where(F.col("distance") <= cell))
+        found = best if found is None else found.unionByName(best)
+        left = _cut(left.join(best.select("pid"), "pid", "left_anti"))
+        cell *= 2
+    return points.select("pid").withColumn("distance", F.lit(None).cast("double")) if found is None else points.select("pid").join(found, "pid", "left")
 
 
 def without_ends(points: DataFrame, by: str = "object", pos: str = "pos") -> DataFrame:

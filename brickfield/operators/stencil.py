@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import AXES
+from ..functions.columns import symmetric_eigenvalues
+from ..model import AXES, Geometry
+from .masks import positive_semidefinite
 
 
 def _line(axis: str, by: tuple[str, ...] = ("vol",)):
@@ -114,6 +116,49 @@ def smoothed_derivatives(df: DataFrame, by=("vol",), value: str = "value") -> Da
     return out.drop("_m", "_d")
 
 
+def derivatives_2d(df: DataFrame, by=("vol", "k"), value: str = "value") -> DataFrame:
+    """u v uu vv uv along i and j within each slice, first and second differences averaged over three lines; null at the border."""
+    line = lambda a: Window.partitionBy(*by, "j" if a == "i" else "i").orderBy(a)
+    step = lambda c, a, n: F.first(c).over(line(a).rangeBetween(n, n))
+    out = df
+    for n, a, b in (("u", "i", "j"), ("v", "j", "i")):
+        out = out.withColumn("_m", step(value, b, -1) + F.col(value) + step(value, b, 1))
+        out = out.withColumns({n: (step("_m", a, 1) - step("_m", a, -1)) / 6, n * 2: (step("_m", a, 1) - 2 * F.col("_m") + step("_m", a, -1)) / 3})
+    out = out.withColumn("_d", step(value, "i", 1) - step(value, "i", -1))
+    return out.withColumn("uv", (step("_d", "j", 1) - step("_d", "j", -1)) / 4).drop("_m", "_d")
+
+
+def lvv_volume(df: DataFrame, size, least: float = 0.01, share: float = 0.9, by=("vol",)) -> DataFrame:
+    """Lvv of interior voxels above a share of the volume's maximum, clamped to a share of its own range; others are not kept."""
+    top = df.groupBy(*by).agg((F.max("value") * least).alias("_t"))
+    d = derivatives(df, by).where(interior(size)).join(top, list(by)).where(F.col("value") > F.col("_t"))
+    d = d.select(*by, *AXES, lvv().alias("lvv"))
+    limits = d.groupBy(*by).agg((F.min("lvv") * share).alias("_a"), (F.max("lvv") * share).alias("_b"))
+    return d.join(limits, list(by)).withColumn("lvv", F.least(F.greatest("lvv", F.least("_a", "_b")), F.greatest("_a", "_b"))).drop("_a", "_b")
+
+
+def local_pca(df: DataFrame, by=("vol",), value: str = "value") -> DataFrame:
+    """Moments about its own centre of the 27 values around each voxel that has all neighbours, and their eigenvalues, largest first.
+
+    Sums of value times offset are window sums, axis by axis.
+    """
+    pair = {"x": "i", "y": "j", "z": "k"}
+    sums = {"s": (0, 0, 0), "sx": (1, 0, 0), "sy": (0, 1, 0), "sz": (0, 0, 1), "sxx": (2, 0, 0), "syy": (0, 2, 0), "szz": (0, 0, 2), "sxy": (1, 1, 0), "sxz": (1, 0, 1), "syz": (0, 1, 1)}
+    out = df.withColumns({f"_{n}": F.col(value) for n in sums})
+    for k, a in enumerate(pair.values()):
+        step = {n: [shifted(f"_{n}", a, d, by) for d in (-1, 1)] for n in sums}
+        new = {}
+        for n, powers in sums.items():
+            low, high = step[n]
+            new[f"_{n}"] = {0: low + F.col(f"_{n}") + high, 1: high - low, 2: low + high}[powers[k]]
+        out = out.withColumns(new)
+    out = out.where(F.col("_s").isNotNull() & (F.col("_s") != 0))
+    mean = lambda n: F.col(f"_{n}") / F.col("_s")
+    cov = {f"c{a}{b}": mean(f"s{a}{b}") - mean(f"s{a}") * mean(f"s{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    out = out.withColumns(cov).drop(*(f"_{n}" for n in sums))
+    return out.withColumns(dict(zip(("e1", "e2", "e3"), symmetric_eigenvalues(*(F.col(c) for c in cov)), strict=True)))
+
+
 def lvv(threshold: float = 1e-12) -> Column:
     """Squared gradient times mean curvature, from the derivative columns."""
     u, v, w, uu, vv, ww, uv, uw, vw = (F.col(c) for c in ("u", "v", "w", "uu", "vv", "ww", "uv", "uw", "vw"))
@@ -189,8 +234,11 @@ def blur(voxels: DataFrame, step, fwhm, kind: str = "gaussian") -> DataFrame:
     return voxels
 
 
-def next_power_of_two(n: int) -> int:
-    return 1 << max(0, math.ceil(math.log2(max(1, n))))
+def next_power_of_two(n):
+    """Of a number or a column."""
+    if isinstance(n, Column):
+        return F.when(n <= 1, 1).otherwise(F.pow(F.lit(2.0), F.length(F.bin(n.cast("long") - 1)))).cast("long")
+    return 1 << max(0, (max(1, int(n)) - 1).bit_length())
 
 
 def _spectrum(n: int, step: float, fwhm: float, kind: str) -> np.ndarray:
@@ -259,7 +307,7 @@ def fft_gradient(voxels: DataFrame, step, order: int = 1) -> DataFrame:
 
 
 def chamfer(voxels: DataFrame, size, step, longest: float = 50.0) -> DataFrame:
-    """Distance to the nearest voxel above 0 by two raster passes of a 3 x 3 x 3 mask; border slices keep their start value.
+    """Distance to the nearest voxel that is not 0 by two raster passes of a 3 x 3 x 3 mask; border slices keep their start value.
 
     The passes are sequential within a volume, so each volume is one group; volumes run side by side.
     """
@@ -268,7 +316,7 @@ def chamfer(voxels: DataFrame, size, step, longest: float = 50.0) -> DataFrame:
     def run(t: pd.DataFrame) -> pd.DataFrame:
         d = np.full(size, float(longest))
         at = tuple(t[a].to_numpy() for a in AXES)
-        d[at] = np.where(t["value"].to_numpy() > 0, 0.0, longest)
+        d[at] = np.where(t["value"].to_numpy() != 0, 0.0, longest)
         for offsets in (before, [tuple(-x for x in o) for o in before]):
             back = offsets is not before
             rows = range(size[0] - 2, 0, -1) if back else range(1, size[0] - 1)
@@ -292,22 +340,16 @@ def chamfer(voxels: DataFrame, size, step, longest: float = 50.0) -> DataFrame:
 
 
 def local_eigen(df: DataFrame, by=("vol",)) -> DataFrame:
-    """Eigenvalues (largest first) and main direction of the Hessian of each voxel that has all derivatives."""
-    live = derivatives(df, by).where(" and ".join(f"{c} is not null" for c in ("uu", "vv", "ww", "uv", "uw", "vw")))
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("e1", "e2", "e3", "vx", "vy", "vz"))])
-    names = df.columns
+    """Eigenvalues of the Hessian, largest first, of each voxel that has all derivatives and where it is positive semidefinite."""
+    names = ("uu", "uv", "uw", "vv", "vw", "ww")
+    live = derivatives(df, by).where(" and ".join(f"{c} is not null" for c in names))
+    live = live.where(positive_semidefinite({c: F.col(c) for c in names}))
+    return live.withColumns(dict(zip(("e1", "e2", "e3"), symmetric_eigenvalues(*(F.col(c) for c in names)), strict=True)))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in parts:
-            h = np.stack([t[c].to_numpy() for c in ("uu", "uv", "uw", "uv", "vv", "vw", "uw", "vw", "ww")], 1).reshape(-1, 3, 3)
-            values, vectors = np.linalg.eigh(h)
-            out = t[names].copy()
-            for n in range(3):
-                out[f"e{n + 1}"] = values[:, 2 - n]
-                out["v" + "xyz"[n]] = vectors[:, n, 2]
-            yield out
 
-    return live.mapInPandas(run, schema)
+def isotropic_smooth(weight: float) -> dict[str, Column]:
+    """Displacement towards the neighbours' mean (mean_dx ...), alike in all directions."""
+    return {c: F.col(c) * (1 - weight) + F.col(f"mean_{c}") * weight for c in DISPLACEMENT}
 
 
 def anisotropic_smooth(grid: DataFrame, confidence: list[Column], axes: list[list[Column]], weight: float) -> dict[str, Column]:
@@ -359,5 +401,17 @@ def local_scale(grid: DataFrame, kind: int = 6, by=("vol",)) -> DataFrame:
     return grid.withColumn("_r", ratio).withColumn("_n", n).withColumn("scale", F.when(F.col("_n") > 0, F.col("_r") / F.col("_n"))).drop("_r", "_n")
 
 
+def mean_warped_position(grid: DataFrame, step=(1.0, 1.0, 1.0), start=(0.0, 0.0, 0.0), by=("vol",)) -> DataFrame:
+    """Where a node's six neighbours are moved to, on average, less their own mean offset: node plus mean displacement."""
+    m = neighbour_mean(grid, DISPLACEMENT, 6, by)
+    return m.withColumns({f"mean_{c}": F.col(a) * float(s) + float(b) + F.col(f"mean_{d}") for c, a, d, s, b in zip("xyz", AXES, DISPLACEMENT, step, start, strict=True)}).drop("n_neighbours", *(f"mean_{d}" for d in DISPLACEMENT))
+
+
+def supersampled_geometry(g: Geometry) -> Geometry:
+    """Half the step and twice the nodes less one, on axes longer than one."""
+    size = tuple(2 * n - 1 if n > 1 else 1 for n in g.size)
+    return Geometry(size, tuple(s / 2 if n > 1 else s for s, n in zip(g.step, g.size, strict=True)), g.start, g.dircos)
+
+
 def magnitude(grid: DataFrame) -> DataFrame:
     return grid.withColumn("magnitude", F.sqrt(sum(F.col(c) * F.col(c) for c in DISPLACEMENT)))

@@ -136,6 +136,11 @@ def live_axes(weights, size) -> list[float]:
     return [w for w, n in zip(weights, size, strict=True) if n > 1]
 
 
+def live_axes_of(weights: list[Column], sizes: list[Column]) -> Column:
+    """The same for a table of sizes: an array of the weights of axes longer than 1."""
+    return F.filter(F.array(*(F.when(n > 1, w) for w, n in zip(weights, sizes, strict=True))), lambda w: w.isNotNull())
+
+
 def cost(x: Column, y: Column, z: Column, longest: float) -> Column:
     """0.2 v / (longest - v) for v the cubed length; 1e38 from longest on."""
     v = F.pow(F.sqrt(x * x + y * y + z * z), F.lit(3.0))

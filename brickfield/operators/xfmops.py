@@ -216,6 +216,12 @@ def resample_field(spark, g: Geometry, steps: list[dict], vol: str = "field") ->
     return moved.select(F.lit(vol).alias("vol"), *AXES, *((F.col(c) - F.col(f"_o{c}")).alias(d) for c, d in zip(XYZ, DISPLACEMENT, strict=True)))
 
 
+def field_of(spark, g: Geometry, parts: dict, vol: str = "field") -> DataFrame:
+    """A field whose displacements are columns over the nodes' world coordinates x, y, z."""
+    world = grid(spark, g.size).withColumns(dict(zip(XYZ, affine(g.to_world(), *AXES), strict=True)))
+    return world.select(F.lit(vol).alias("vol"), *AXES, *(parts[c].alias(c) for c in DISPLACEMENT))
+
+
 def reverse_field(spark, field: DataFrame, g: Geometry, like: Geometry | None = None) -> DataFrame:
     return resample_field(spark, like or g, [{"type": "Grid_Transform", "field": field, "geometry": g, "invert_flag": True}])
 
