@@ -1,8 +1,8 @@
 """Encoding text chunk by chunk, each different chunk once.
 
 Where a tokenizer never joins characters across a boundary, a text's ids are the ids of its
-chunks in turn. A slice's chunks are told apart by fingerprint, its different ones are looked up
-by their bytes, and only those not met before are encoded, as one batch.
+chunks in turn. Chunks are told apart by their 64-bit fingerprints, which a worker remembers with their ids in
+flat arrays; only chunks not met before are taken out as bytes and encoded, a few thousand as one batch.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks remembered unless an encoder asks for another number; beyond that all are forgotten and met anew.
-#: It bounds a worker's memory, which the worker keeps while it serves other operators.
-REMEMBERED = 200_000
+from .wordscan import U64
+
+#: Chunks remembered unless an encoder asks for another number, and ids of them; beyond either all are forgotten and met anew.
+REMEMBERED, REMEMBERED_IDS = 200_000, 8 << 20
+#: Chunks that go through the tokenizer together: its answers are large objects.
+TOGETHER = 4096
 
 
 class Encoder:
@@ -22,13 +25,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.size, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype), 0
+        self.keys, self.at = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.start, self.size, self.pool, self.count, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype), 0, 0
 
     def _learn(self, chunks: list[bytes]) -> None:
         ids = self.encode(chunks)
         sizes = np.array([len(x) for x in ids], np.int64)
-        n, flat = len(self.known), np.array([t for x in ids for t in x], self.dtype)
+        n, flat = self.count, np.array([t for x in ids for t in x], self.dtype)
         while len(self.size) < n + len(chunks):
             self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while len(self.pool) < self.used + len(flat):
@@ -36,21 +39,27 @@ class Encoder:
         self.pool[self.used : self.used + len(flat)] = flat
         self.start[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(chunks)] = sizes
-        self.used += len(flat)
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.used, self.count = self.used + len(flat), n + len(chunks)
 
     def ids(self, keys: np.ndarray, bytes_of: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in turn, number of ids of each chunk); keys: fingerprints of the chunks, bytes_of: the bytes of the nth."""
         if not len(keys):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        chunks = [bytes_of(k) for k in first.tolist()]
-        if len(self.known) + len(chunks) > self.remembered and self.known:
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if self.count and (self.count + len(distinct) > self.remembered or self.used > REMEMBERED_IDS):
             self._forget()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            self._learn(new)
-        at = np.array([self.known[c] for c in chunks], np.int64)[inverse]
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == distinct[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            before = self.count
+            for k in range(0, len(new), TOGETHER):
+                self._learn([bytes_of(x) for x in first[new[k : k + TOGETHER]].tolist()])
+            self.keys, self.at = np.insert(self.keys, place[new], distinct[new]), np.insert(self.at, place[new], before + np.arange(len(new)))
+            place = np.searchsorted(self.keys, distinct)
+        at = self.at[place][inverse]
         size = self.size[at]
         total = np.cumsum(size)
         where = np.arange(total[-1]) + np.repeat(self.start[at] - (total - size), size)

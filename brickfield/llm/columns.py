@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .wordscan import give_back
+from .vocab import let_go
+from .wordscan import give_back, thrifty
 
 Maker = Callable[[], Callable[[pa.RecordBatch], list]]
 
@@ -26,9 +27,12 @@ def with_columns(df: DataFrame, new: list[T.StructField], make: Maker) -> DataFr
     old = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         work = None
         for batch in batches:
-            work = work or make()
+            if work is None:
+                work = make()
+                let_go()
             values = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, t) for v, t in zip(work(batch), types, strict=True)]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in old] + values
             yield pa.RecordBatch.from_arrays(columns, names=[*old, *(f.name for f in new)])
@@ -39,3 +43,14 @@ def with_columns(df: DataFrame, new: list[T.StructField], make: Maker) -> DataFr
 
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

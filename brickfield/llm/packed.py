@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from .columns import field
 from .runtime import partitions
-from .wordscan import U64, batches_of, give_back, mix, segments
+from .vocab import let_go
+from .wordscan import U64, batches_of, give_back, mix, segments, thrifty
 
 PACK_BYTES = 3 << 20
 #: Fingerprints taken together while a bucket is streamed.
@@ -85,6 +86,8 @@ def scatter(df: DataFrame, packs: Callable[[pa.Table], Iterator[Pack]], width: i
     buckets = partitions(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
+        let_go()
         for t in batches_of(batches, PACK_BYTES):
             for pack in packs(t):
                 rows = list(pack_rows(pack, buckets, width))
@@ -97,6 +100,8 @@ def scatter(df: DataFrame, packs: Callable[[pa.Table], Iterator[Pack]], width: i
 
 def stream(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket, kind, document id, size, key) arrays of chunks of a partition's rows; a chunk has one bucket and kind."""
+    thrifty()
+    let_go()
     held, total, now = [], 0, None
 
     def joined():
@@ -137,7 +142,9 @@ def found_rows(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, targets: i
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    thrifty()
+    let_go()
     held = []
     for batch in batches:
         for _, ids, sizes, counts, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -156,67 +163,86 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def gathered(found: DataFrame) -> DataFrame:
-    """All codes of each document. A partition holds the codes of its own documents, whose texts would be longer."""
+def gathered(found: DataFrame, then=None, schema: T.StructType = GATHERED) -> DataFrame:
+    """All codes of each document, or what `then` makes of them in the same worker. A partition holds the codes of its own documents, whose texts would be longer."""
     n = partitions(found.sparkSession)
-    return found.repartitionById(n, F.col("target")).mapInArrow(_gather, GATHERED)
+    return found.repartitionById(n, F.col("target")).mapInArrow(lambda it: then(gather(it)) if then else gather(it), schema)
 
 
-class Seen:
-    """Distinct keys of a bucket with the first document seen and whether another was; fed chunk by chunk."""
+class _Levels:
+    """Sorted keys with values, in levels of which each is at least twice as long as the next one, so that adding keys chunk by
+    chunk copies each of them a logarithmic number of times."""
 
     def __init__(self) -> None:
-        self.keys, self.first, self.size, self.many = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
+        self.levels: list[list[np.ndarray]] = []
+
+    def find(self, keys: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(level, which of the keys it holds, where) of every level that holds some; keys are distinct."""
+        out = []
+        for n, level in enumerate(self.levels):
+            at = np.searchsorted(level[0], keys)
+            inside = np.flatnonzero(at < len(level[0]))
+            held = inside[level[0][at[inside]] == keys[inside]]
+            if len(held):
+                out.append((n, held, at[held]))
+        return out
+
+    def add(self, *columns: np.ndarray) -> None:
+        """New keys, sorted, and their values."""
+        if not len(columns[0]):
+            return
+        self.levels.append(list(columns))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
+            joined = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
+            order = np.argsort(joined[0], kind="stable")
+            self.levels[-2:] = [[x[order] for x in joined]]
+
+
+class Seen(_Levels):
+    """Distinct keys of a bucket with the first document seen and whether another was; fed chunk by chunk."""
 
     def feed(self, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, sizes, keys) now known to be shared by different documents; a document may come twice."""
         order = np.argsort(keys, kind="stable")
         ids, sizes, keys = ids[order], sizes[order], keys[order]
         lo, hi = segments(keys)
-        new = keys[lo]
-        at = np.searchsorted(self.keys, new)
-        known = np.zeros(len(new), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == new[inside]
-        first, size = ids[lo].copy(), sizes[lo].copy()
-        first[known], size[known] = self.first[at[known]], self.size[at[known]]
-        was = np.zeros(len(new), bool)
-        was[known] = self.many[at[known]]
+        new, first, size = keys[lo], ids[lo].copy(), sizes[lo].copy()
+        known, was = np.zeros(len(new), bool), np.zeros(len(new), bool)
+        held = self.find(new)
+        for n, which, at in held:
+            known[which] = True
+            _, first_of, size_of, many_of = self.levels[n]
+            first[which], size[which], was[which] = first_of[at], size_of[at], many_of[at]
         other = ids != np.repeat(first, hi - lo)
         many = was | (np.add.reduceat(other, lo) > 0 if len(lo) else was)
         late = known & many & ~was
-        self.many[at[known]] = many[known]
+        for n, which, at in held:
+            self.levels[n][3][at] = many[which]
         tell = np.repeat(many, hi - lo)
         out = tuple(np.concatenate(x) for x in ((ids[tell], first[late]), (sizes[tell], size[late]), (keys[tell], new[late])))
         fresh = ~known
-        put = at[fresh]
-        self.keys, self.first = np.insert(self.keys, put, new[fresh]), np.insert(self.first, put, first[fresh])
-        self.size, self.many = np.insert(self.size, put, size[fresh]), np.insert(self.many, put, many[fresh])
+        self.add(new[fresh], first[fresh], size[fresh], many[fresh])
         return out
 
 
-class Smallest:
+class Smallest(_Levels):
     """Distinct keys of a bucket with their smallest document; fed chunk by chunk."""
 
-    def __init__(self) -> None:
-        self.keys, self.low = np.zeros(0, U64), np.zeros(0, np.int64)
-
     def feed(self, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, keys) of documents now known not to be the smallest that holds the key."""
         order = np.lexsort((ids, keys))
         ids, keys = ids[order], keys[order]
         lo, hi = segments(keys)
         new, low = keys[lo], ids[lo].copy()
-        at = np.searchsorted(self.keys, new)
-        known = np.zeros(len(new), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == new[inside]
-        before = self.low[at[known]]
-        beaten = low[known] < before
-        late_ids, late_keys = before[beaten], new[known][beaten]
-        low[known] = np.minimum(low[known], before)
-        self.low[at[known]] = low[known]
+        fresh, late = np.ones(len(new), bool), []
+        for n, which, at in self.find(new):
+            fresh[which] = False
+            lows = self.levels[n][1]
+            before = lows[at]
+            beaten = low[which] < before
+            late.append((before[beaten], new[which][beaten]))
+            low[which] = np.minimum(low[which], before)
+            lows[at] = low[which]
         above = ids > np.repeat(low, hi - lo)
-        fresh = ~known
-        self.low, self.keys = np.insert(self.low, at[fresh], low[fresh]), np.insert(self.keys, at[fresh], new[fresh])
-        return np.concatenate([ids[above], late_ids]), np.concatenate([keys[above], late_keys])
+        self.add(new[fresh], low[fresh])
+        return np.concatenate([ids[above], *(x for x, _ in late)]), np.concatenate([keys[above], *(x for _, x in late)])

@@ -3,7 +3,8 @@
 The model's protobuf is parsed here (pieces with scores and types, trainer and normaliser
 settings) and rebuilt as a tokenizers pipeline: the precompiled character map if there is one,
 the metaspace marker for spaces with or without a dummy prefix, unigram scores or a BPE's
-merges in order of score, and byte fallback. Batches are encoded by the library's threads.
+merges in order of score, and byte fallback. Batches are encoded by the library's threads, as many as a
+task has cores (spark.task.cpus) unless another number is asked for.
 
 If no piece holds the marker after another character, ids of a text are the ids of its runs
 of spaces with the word behind them, and each different run is encoded once for a worker. Each run's
@@ -21,7 +22,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,13 @@ from pyspark.sql import types as T
 
 from .chunks import Encoder
 from .columns import field, with_columns
-from .vocab import default_path
+from .vocab import default_path, hold
 from .wordscan import U64, mix, scan, text_slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-THREADS = 2
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[0x20] = False
 
@@ -156,7 +155,7 @@ def _threads(n: int) -> None:
 class Codec:
     """Encodes, decodes and checks texts with one model."""
 
-    def __init__(self, path: str, threads: int = THREADS) -> None:
+    def __init__(self, path: str, threads: int = 1) -> None:
         import sentencepiece
 
         _threads(threads)
@@ -232,9 +231,8 @@ class Codec:
         return (raw[1:] if self.model.dummy_prefix and raw[:1] == b" " else raw).decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, threads: int = THREADS) -> Codec:
-    return Codec(path, threads)
+def codec(path: str, threads: int = 1) -> Codec:
+    return hold(("pieces", path, threads), lambda: Codec(path, threads))
 
 
 RESULT = [
@@ -246,10 +244,11 @@ RESULT = [
 ]
 
 
-def encode_pieces(docs: DataFrame, text_col: str = "text", model: str | None = None, threads: int = THREADS, with_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, text_col: str = "text", model: str | None = None, threads: int | None = None, with_ids: bool = True) -> DataFrame:
     """docs with each text's ids (little-endian, 2 bytes each for a vocabulary of up to 65,536; null if not asked for), their number and
     the CRC-32 of them as 4-byte numbers, whether they decode to the text, and whether sentencepiece gives the same."""
     path = model or default_path("piece_bpe_32k.model")
+    threads = threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
     def make():
         c = codec(path, threads)

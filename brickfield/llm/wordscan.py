@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd number and of its inverse modulo 2**64, grown on demand; give_back() forgets what only a long text needed."""
+
+    KEPT = 1 << 20
 
     def __init__(self, base: int) -> None:
         self.base, self.inv = base, pow(base, -1, 1 << 64)
@@ -45,6 +48,10 @@ class _Powers:
                 setattr(self, name, np.cumprod(p))
         return self.up[:n], self.down[:n]
 
+    def trim(self) -> None:
+        if len(self.up) > self.KEPT:
+            self.up, self.down = self.up[: self.KEPT].copy(), self.down[: self.KEPT].copy()
+
 
 _bytes, _grams = _Powers(_BASE), _Powers(_GRAM)
 
@@ -143,13 +150,31 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         i = j
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_ARENA_MAX, 1)
+        return libc
+    except (OSError, AttributeError):
+        return None  # not glibc
+
+
+_ARENA_MAX = -8
+
+
+def thrifty() -> None:
+    """One heap for all threads of a worker; each thread's own would keep what it frees."""
+    _libc()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers live on after a task, and an executor's memory is theirs too."""
+    _bytes.trim()
+    _grams.trim()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        return  # not glibc
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 def segments(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
