@@ -2,22 +2,28 @@
 
 The source is sampled once on the lattice. An evaluation takes a list of candidate matrices and costs one job: lattice points
 times candidates (a literal array), trilinear gather in the target, one aggregate for each candidate. A lattice of at most
-LOCAL_POINTS points and a target of as few voxels are checked by count and then evaluated in numpy on the driver.
+LOCAL_POINTS points and a target of as few voxels are checked by count and then evaluated in numpy on the driver, to the same
+values; both ways have all objectives. Mutual information votes with the eight voxels around each point, weighted by their shares,
+in byte bins over the whole range of either volume; a histogram has 256 x 256 bins whatever the volumes' size, and is finished
+on the driver.
 """
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import FREE, WEIGHTS, Parameters, align_axes, angles, pack, principal_axes, unpack
 from ..model import AXES, Geometry, affine
 from . import measures
-from .sample import XYZ, lattice, lattice_of, nearest, transformed, trilinear
+from .sample import XYZ, lattice, lattice_of, nearest, partial_volume, transformed, trilinear
+from .voxelwise import segment
 
 LOCAL_POINTS = 2_000_000
 OUT_OF_BOUNDS = 1e10
@@ -74,6 +80,15 @@ class Simplex:
         return self.points[np.argmin(self.values)]
 
 
+def timed(text: str, work: Callable[[], object]):
+    """What work() gives; how long it took goes to the log."""
+    began = time.perf_counter()
+    try:
+        return work()
+    finally:
+        logging.getLogger(__name__).info("%s: %.3f s", text, time.perf_counter() - began)
+
+
 def lbfgs(start, objective: Callable[[list[np.ndarray]], list[float]], delta: float = 5e-5, memory: int = 6, most: int = 60, tolerance: float = 1e-6) -> np.ndarray:
     """Limited-memory BFGS with forward differences: a gradient is one batch of n + 1 evaluations."""
     x = np.asarray(start, float)
@@ -157,8 +172,36 @@ def _numpy_trilinear(volume: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.
     return out, inside
 
 
-#: Global objectives over columns v1, v2, all to be made small.
-OBJECTIVES = {"xcorr": measures.xcorr, "zscore": measures.zscore_difference}
+BINS, GROUPS = 256, 256
+#: Width of the box that smooths histograms, 1 for none.
+BLUR = 3
+
+
+def _box_mean(p: np.ndarray, width: int) -> np.ndarray:
+    """Means over `width` bins along the last axis; the nth bin from an end is a mean of 2n + 1."""
+    n, h = p.shape[-1], width // 2
+    total = np.concatenate([np.zeros((*p.shape[:-1], 1)), np.cumsum(p, -1)], -1)
+    reach = np.minimum(h, np.minimum(np.arange(n), n - 1 - np.arange(n)))
+    return (total[..., np.arange(n) + reach + 1] - total[..., np.arange(n) - reach]) / (2 * reach + 1)
+
+
+def information(hist: np.ndarray, normalised: bool, blur: int = BLUR) -> float:
+    """Minus the mutual information of a joint histogram, or minus its share of the marginal entropies."""
+    if not hist.sum():
+        return OUT_OF_BOUNDS
+    p = _box_mean(_box_mean(hist / hist.sum(), blur).T, blur).T if blur > 1 else hist / hist.sum()
+    px, py = p.sum(1), p.sum(0)
+    i, j = np.nonzero(p)
+    mi = float((p[i, j] * np.log(p[i, j] / (px[i] * py[j]))).sum())
+    h = -sum(float((q[q > 0] * np.log(q[q > 0])).sum()) for q in (px, py))
+    return -mi if not normalised else -mi / h if h else 0.0
+
+
+def _bytes(v, low: float, high: float):
+    """Byte bins over a volume's range, of an array or a column."""
+    if isinstance(v, Column):
+        return F.floor((v - low) / (high - low) * 255 + 0.5).cast("int") if high > low else F.lit(0)
+    return np.floor((v - low) / (high - low) * 255 + 0.5).astype(int) if high > low else np.zeros(len(v), int)
 
 
 def _numpy_objective(name: str, a: np.ndarray, b: np.ndarray) -> float:
@@ -171,73 +214,134 @@ def _numpy_objective(name: str, a: np.ndarray, b: np.ndarray) -> float:
         return float(np.sqrt(((a - b) ** 2).sum()) / len(a))
     if name == "vr":
         ok = b != 0
+        lo, hi = a.min(), a.max()
         a, b = a[ok], b[ok]
-        lo, hi = a.min(initial=0), a.max(initial=1)
-        group = np.floor(1 + (a - lo) * (256 - 1e-5) / max(hi - lo, 1e-12)).astype(int)
+        group = np.floor(1 + (a - lo) * (GROUPS - 1e-5) / (hi - lo)).astype(int) if hi > lo else np.ones(len(a), int)
         n = np.bincount(group)
         ratio = a / b
-        s, s2 = np.bincount(group, ratio), np.bincount(group, ratio * ratio)
+        mean = np.bincount(group, ratio) / np.maximum(n, 1)
+        spread = np.bincount(group, (ratio - mean[group]) ** 2)
         many = n > 1
-        return float(((s2 - s * s / np.maximum(n, 1))[many] / (n[many] - 1) * n[many]).sum() / n.sum()) if n.sum() > 1 else 1e15
+        return float((spread[many] / (n[many] - 1) * n[many]).sum() / n.sum()) if n.sum() > 1 else 1e15
     if name == "ssc":
         d = np.sign(a - b)
-        known = d[d != 0]
-        return -float((d == 0).sum() + (known[1:] != known[:-1]).sum())
-    if name in ("mi", "nmi"):
-        bins = lambda x: np.minimum((x - x.min()) / max(np.ptp(x), 1e-12) * 256, 255).astype(int)
-        p = np.bincount(bins(a) * 256 + bins(b), minlength=65536).reshape(256, 256) / len(a)
-        px, py = p.sum(1), p.sum(0)
-        i, j = np.nonzero(p)
-        mi = float((p[i, j] * np.log(p[i, j] / (px[i] * py[j]))).sum())
-        h = -sum(float((q[q > 0] * np.log(q[q > 0])).sum()) for q in (px, py))
-        return -mi if name == "mi" else -mi / h if h else 0.0
+        known = np.concatenate([[0.0], d])
+        last = known[np.maximum.accumulate(np.where(known != 0, np.arange(len(known)), 0))][:-1]
+        return -float((d == 0).sum() + ((d != 0) & (last != 0) & (d != last)).sum())
+    raise ValueError(name)
+
+
+def _by_candidate(both: DataFrame, name: str) -> DataFrame:
+    """(_c, o): the objective of each candidate, from its points' v1 and v2."""
+    a, b = F.col("v1"), F.col("v2")
+    if name in ("xcorr", "zscore"):
+        return both.groupBy("_c").agg({"xcorr": measures.xcorr, "zscore": measures.zscore_difference}[name](a, b).alias("o"))
+    if name == "vr":
+        limits = F.broadcast(both.groupBy("_c").agg(F.min(a).alias("_lo"), F.max(a).alias("_hi")))  # a row for each candidate
+        group = F.when(F.col("_hi") > F.col("_lo"), segment(a, F.col("_lo"), F.col("_hi"), GROUPS)).otherwise(1)
+        return measures.variance_ratio(both.join(limits, "_c"), group, a, b, ("_c",)).select("_c", F.col("variance_ratio").alias("o"))
+    if name == "ssc":
+        return measures.sign_changes(both, a - b, ["pid"], ("_c",)).select("_c", F.col("ssc").alias("o"))
     raise ValueError(name)
 
 
 class Evaluator:
-    """Objective of candidate source-to-target matrices on a lattice over the source."""
+    """Objective of candidate source-to-target matrices on a lattice over the source. close() lets its tables go."""
 
-    def __init__(self, source: DataFrame, source_g: Geometry, target: DataFrame, target_g: Geometry, objective: str = "xcorr", step=(4.0, 4.0, 4.0), thresholds=(0.0, 0.0), mask: DataFrame | None = None, local: bool | None = None) -> None:
+    def __init__(self, source: DataFrame, source_g: Geometry, target: DataFrame, target_g: Geometry, objective: str = "xcorr", step=(4.0, 4.0, 4.0), thresholds=(0.0, 0.0), mask: DataFrame | None = None, target_mask: DataFrame | None = None, local: bool | None = None) -> None:
         spark = source.sparkSession
         spec = lattice_of(source_g, step)
         nodes = lattice(spark, spec["start"], spec["step"], spec["count"])
         at = nearest(transformed(nodes, source_g.to_voxel()), source, source_g.size, "v1").where(F.col("v1") > thresholds[0])
         if mask is not None:
-            live = mask.where("value > 0").select(*(F.col(a).alias(f"_{a}") for a in AXES))
-            at = at.withColumns({f"_{a}": F.floor(F.col(c) + 0.5).cast("int") for a, c in zip(AXES, XYZ, strict=True)}).join(live, ["_i", "_j", "_k"], "left_semi")
+            at = _within(at, mask)
         # The value is the nearest voxel's, so it is that voxel that is mapped, not the node.
         at = at.withColumns({c: F.floor(F.col(c) + 0.5) for c in XYZ})
         world = affine(source_g.to_world(), *XYZ)
         self.points = at.select("pid", *(w.alias(c) for w, c in zip(world, XYZ, strict=True)), "v1").persist()
         self.target, self.target_g, self.objective, self.threshold = target.select("vol", *AXES, "value").persist(), target_g, objective, thresholds[1]
+        self.target_mask = None if target_mask is None else target_mask.where("value > 0").select(*AXES).distinct()
+        if objective in ("mi", "nmi"):
+            self.ranges = [tuple(v.agg(F.min("value"), F.max("value")).first()) for v in (source, self.target)]
         voxels = int(np.prod(target_g.size))
         self.local = (voxels <= LOCAL_POINTS and self.points.count() <= LOCAL_POINTS) if local is None else local
         if self.local:  # both counted to be small
             rows = self.points.orderBy("pid").toPandas()
             self._p, self._v1 = rows[list(XYZ)].to_numpy(), rows["v1"].to_numpy()
-            t = self.target.toPandas()
-            self._volume = np.zeros(target_g.size)
-            self._volume[tuple(t[a].to_numpy() for a in AXES)] = t["value"]
+            self._volume = self._array(self.target, "value")
+            self._live = None if self.target_mask is None else self._array(self.target_mask.withColumn("value", F.lit(1.0)), "value") > 0
+
+    def _array(self, df: DataFrame, value: str) -> np.ndarray:
+        t, out = df.select(*AXES, value).toPandas(), np.zeros(self.target_g.size)
+        out[tuple(t[a].to_numpy() for a in AXES)] = t[value]
+        return out
+
+    def close(self) -> None:
+        self.points.unpersist()
+        self.target.unpersist()
 
     def __call__(self, matrices: list[np.ndarray]) -> list[float]:
         voxel = [self.target_g.to_voxel() @ m for m in matrices]
+        information_asked = self.objective in ("mi", "nmi")
         if self.local:
-            out = []
-            for m in voxel:
-                v2, inside = _numpy_trilinear(self._volume, self._p @ m[:3, :3].T + m[:3, 3])
-                keep = inside & (v2 > self.threshold)
-                out.append(_numpy_objective(self.objective, self._v1[keep], v2[keep]))
-            return out
+            return [self._information_here(m) if information_asked else self._here(m) for m in voxel]
         n = len(voxel)
         table = F.array(*(F.array(*(F.lit(float(x)) for x in m[:3].ravel())) for m in voxel))
         each = self.points.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         m = F.element_at(table, F.col("_c") + 1)
         row = lambda r: sum((F.element_at(m, 4 * r + q + 1) * F.col(c) for q, c in enumerate(XYZ)), F.element_at(m, 4 * r + 4))
         moved = each.select((F.col("pid") * n + F.col("_c")).alias("pid"), "_c", "v1", *(row(r).alias(c) for r, c in enumerate(XYZ)))
+        if self.target_mask is not None:
+            moved = _within(moved, self.target_mask.withColumn("value", F.lit(1)))
+        if information_asked:
+            return self._information(moved, n)
         both = trilinear(moved, self.target, self.target_g.size, "v2").where(F.col("v2") > self.threshold)
-        got = {r["_c"]: r["o"] for r in both.groupBy("_c").agg(OBJECTIVES[self.objective](F.col("v1"), F.col("v2")).alias("o")).collect()}
+        got = {r["_c"]: r["o"] for r in _by_candidate(both, self.objective).collect()}  # a row for each candidate
         return [OUT_OF_BOUNDS if got.get(k) is None else float(got[k]) for k in range(n)]
 
+    def _moved_here(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in the target, whether the target's mask has them)."""
+        at = self._p @ m[:3, :3].T + m[:3, 3]
+        if self._live is None:
+            return at, np.ones(len(at), bool)
+        near = np.floor(at + 0.5).astype(int)
+        inside = np.all((near >= 0) & (near < self.target_g.size), 1)
+        inside[inside] = self._live[tuple(near[inside].T)]
+        return at, inside
+
+    def _here(self, m: np.ndarray) -> float:
+        at, live = self._moved_here(m)
+        v2, inside = _numpy_trilinear(self._volume, at)
+        keep = live & inside & (v2 > self.threshold)
+        return _numpy_objective(self.objective, self._v1[keep], v2[keep])
+
+    def _information_here(self, m: np.ndarray) -> float:
+        at, live = self._moved_here(m)
+        keep = live & np.all((at >= 0) & (at < np.array(self._volume.shape) - 1), 1)
+        at, b1 = at[keep], _bytes(self._v1[keep], *self.ranges[0])
+        q = np.floor(at).astype(int)
+        t, hist = at - q, np.zeros(BINS * BINS)
+        for d in np.ndindex(2, 2, 2):
+            value = self._volume[tuple((q + d).T)]
+            w = np.prod(np.where(np.array(d) == 1, t, 1 - t), 1) * (value > self.threshold)
+            hist += np.bincount(b1 * BINS + _bytes(value, *self.ranges[1]), w, BINS * BINS)
+        return information(hist.reshape(BINS, BINS), self.objective == "nmi")
+
+    def _information(self, moved: DataFrame, n: int) -> list[float]:
+        rows = partial_volume(moved, self.target, self.target_g.size, ("_c", "v1"), join_by=()).where(F.col("value") > self.threshold)
+        bins = rows.groupBy("_c", _bytes(F.col("v1"), *self.ranges[0]).alias("b1"), _bytes(F.col("value"), *self.ranges[1]).alias("b2")).agg(F.sum("share").alias("w"))
+        hist = np.zeros((n, BINS, BINS))
+        t = bins.toPandas()  # at most BINS squared rows for each candidate
+        hist[t["_c"], t["b1"], t["b2"]] = t["w"]
+        return [information(h, self.objective == "nmi") for h in hist]
+
+
+def _within(points: DataFrame, mask: DataFrame) -> DataFrame:
+    """Points (voxel coordinates) whose nearest voxel is in a mask."""
+    live = mask.where("value > 0").select(*(F.col(a).alias(f"_{a}") for a in AXES))
+    keyed = points.withColumns({f"_{a}": F.floor(F.col(c) + 0.5).cast("int") for a, c in zip(AXES, XYZ, strict=True)})
+    return keyed.join(live, ["_i", "_j", "_k"], "left_semi").drop("_i", "_j", "_k")
+
 
 def moments(voxels: DataFrame, g: Geometry) -> tuple[np.ndarray, np.ndarray]:
     """World centre of gravity and covariance, in one aggregation."""
@@ -254,14 +358,14 @@ def principal_axis_start(source: DataFrame, source_g: Geometry, target: DataFram
     return Parameters(center=c1, translations=c2 - c1, rotations=np.array(turn if turn else (0, 0, 0)))
 
 
-def linear_fit(source: DataFrame, source_g: Geometry, target: DataFrame, target_g: Geometry, kind: str = "lsq6", objective: str = "xcorr", start: Parameters | None = None, step=(4.0, 4.0, 4.0), simplex: float = 20.0, tolerance: float = 0.005, thresholds=(0.0, 0.0), optimiser: str = "simplex", quaternions: bool = False, mask: DataFrame | None = None, local: bool | None = None) -> Parameters:
+def linear_fit(source: DataFrame, source_g: Geometry, target: DataFrame, target_g: Geometry, kind: str = "lsq6", objective: str = "xcorr", start: Parameters | None = None, step=(4.0, 4.0, 4.0), simplex: float = 20.0, tolerance: float = 0.005, thresholds=(0.0, 0.0), optimiser: str = "simplex", quaternions: bool = False, mask: DataFrame | None = None, target_mask: DataFrame | None = None, local: bool | None = None) -> Parameters:
     """The parameters of the transform from source to target that make the objective least."""
     p = start or Parameters(center=moments(source, source_g)[0])
     if quaternions and p.quaternion is None:
         from ..functions.transforms import matrix_quaternion, rotation
 
         p = replace(p, quaternion=matrix_quaternion(rotation(*p.rotations)))
-    evaluate = Evaluator(source, source_g, target, target_g, objective, step, thresholds, mask, local)
+    evaluate = Evaluator(source, source_g, target, target_g, objective, step, thresholds, mask, target_mask, local)
 
     def values(points: list[np.ndarray]) -> list[float]:
         made = [unpack(p, x, kind) for x in points]
@@ -270,13 +374,18 @@ def linear_fit(source: DataFrame, source_g: Geometry, target: DataFrame, target_
         return [next(got) if g else OUT_OF_BOUNDS for g in good]
 
     first = pack(p, FREE[kind])
-    if optimiser == "bfgs":
-        return unpack(p, lbfgs(first, values), kind)
-    return unpack(p, Simplex(first, simplex, values, tolerance).run(), kind)
+    try:
+        return unpack(p, lbfgs(first, values) if optimiser == "bfgs" else Simplex(first, simplex, values, tolerance).run(), kind)
+    finally:
+        evaluate.close()
 
 
 def measure_fit(source, source_g, target, target_g, matrix: np.ndarray, objective: str = "xcorr", **options) -> float:
-    return Evaluator(source, source_g, target, target_g, objective, **options)([matrix])[0]
+    evaluate = Evaluator(source, source_g, target, target_g, objective, **options)
+    try:
+        return evaluate([matrix])[0]
+    finally:
+        evaluate.close()
 
 
 def objective_curves(evaluate: Callable[[list[np.ndarray]], list[float]], p: Parameters, steps: int = 15, simplex: float = 20.0) -> list[tuple[int, float, float, float]]:

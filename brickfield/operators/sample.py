@@ -139,10 +139,11 @@ def evaluate_world(points: DataFrame, voxels: DataFrame, g: Geometry, degree: in
     return evaluate(transformed(points, g.to_voxel()), voxels, g.size, degree, out)
 
 
-def partial_volume(points: DataFrame, voxels: DataFrame, size, by: tuple[str, ...] = ()) -> DataFrame:
-    """Up to eight rows for each point: a voxel's value and its share."""
+def partial_volume(points: DataFrame, voxels: DataFrame, size, by: tuple[str, ...] = (), join_by: tuple[str, ...] | None = None) -> DataFrame:
+    """Up to eight rows for each point: a voxel's value and its share. by: columns kept; join_by: those of them that volumes have too."""
     met = corners(points.where(inside_linear(size)).select("pid", *by, *XYZ), 0, 1, _linear_weight)
-    return met.join(_indexed(voxels, by=by), [*by, "_i", "_j", "_k"]).select("pid", *by, F.col("_v").alias("value"), F.col("_w").alias("share"))
+    keys = by if join_by is None else join_by
+    return met.join(_indexed(voxels, by=keys), [*keys, "_i", "_j", "_k"]).select("pid", *by, F.col("_v").alias("value"), F.col("_w").alias("share"))
 
 
 def value_and_derivatives(points: DataFrame, voxels: DataFrame, size) -> DataFrame:

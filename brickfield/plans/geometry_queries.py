@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as tr
 from ..model import AXES, Geometry, affine
-from ..operators import lattice, masks, nonlinear, optimise, sample, stencil, xfmops
+from ..operators import lattice, masks, nonlinear, sample, stencil, xfmops
 from ..sources import phantoms
 from .volume_queries import V, query, r6, table, volumes
 
@@ -183,28 +183,6 @@ def _pair(spark):
     return one, sample.resample(one, G16, G16, tr.from_degrees((5, 2, -6), (-4, 7, 10)))
 
 
-@query()
-def objective_curve(spark, sf_dir):
-    one, two = _pair(spark)
-    e = optimise.Evaluator(one, G16, two, G16, step=(8.0,) * 3)
-    rows = optimise.objective_curves(e, tr.Parameters(), 5)
-    return spark.createDataFrame([(int(a), float(b), float(c), float(d)) for a, b, c, d in rows], "parameter int, offset double, value double, objective double")
-
-
-def _fit(kind):
-    def f(spark, sf_dir):
-        one, two = _pair(spark)
-        p = optimise.linear_fit(one, G16, two, G16, kind, start=tr.Parameters(center=np.zeros(3)), step=(8.0,) * 3, simplex=10.0)
-        return masks.matrix_rows(spark, p.matrix())
-
-    f.__name__ = f"linear_fit_{kind}"
-    return query()(f)
-
-
-for _kind in ("lsq3", "lsq6", "lsq7", "lsq9", "lsq12"):
-    _fit(_kind)
-
-
 @query()
 def nonlinear_step(spark, sf_dir):
     one, two = _pair(spark)

@@ -73,15 +73,26 @@ def crop_volume(voxels: DataFrame, g: Geometry, bounds: list[tuple[float, float]
     return resample(voxels, g, like, np.eye(4), -1), like
 
 
+def special_preprocess(voxels: DataFrame, g: Geometry, mask: DataFrame, mask_g: Geometry, transform: np.ndarray, fwhm: float) -> tuple[DataFrame, Geometry]:
+    """The mask seen through a transform on the volume's grid, the volume within it, cropped to the mask's box and blurred; and the
+    geometry of that box, which a field's grid is cropped to as well."""
+    own = resample(mask, mask_g, g, transform, -1).select(*AXES, F.col("value").alias("_m"))
+    inside = own.where("_m > 0")
+    box = inside.agg(*(f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES)).first().asDict()
+    masked = voxels.join(own, list(AXES)).withColumn("value", F.when(F.col("_m") > 0, F.col("value")).otherwise(0.0)).drop("_m")
+    cropped, small = crop_volume(masked, g, lattice.box_bounds(box, g))
+    return blurred(cropped, small, fwhm, apodise=False), small
+
+
 def stereotaxic(source: DataFrame, source_g: Geometry, model: DataFrame, model_g: Geometry, model_mask: DataFrame | None = None, steps=STEREOTAXIC, objective: str = "xcorr") -> Parameters:
-    """The linear fit to a model, coarse to fine."""
+    """The linear fit to a model, coarse to fine; steps marked so look at what the model's mask holds only."""
     p = optimise.principal_axis_start(source, source_g, model, model_g)
     for s in steps:
         if s is None:
             p = check_scale(p)
             continue
         a, b = blurred(source, source_g, s.fwhm, s.gradient).persist(), blurred(model, model_g, s.fwhm, s.gradient).persist()
-        p = optimise.linear_fit(a, source_g, b, model_g, s.kind, objective, p, (s.step,) * 3, s.simplex, s.tolerance)
+        p = optimise.linear_fit(a, source_g, b, model_g, s.kind, objective, p, (s.step,) * 3, s.simplex, s.tolerance, target_mask=model_mask if s.masked else None)
         a.unpersist()
         b.unpersist()
     return p

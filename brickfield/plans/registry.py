@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_queries, geometry_queries, point_queries, transform_queries, volume_queries
+from . import file_queries, fit_queries, geometry_queries, point_queries, transform_queries, volume_queries
 
-MODULES = (volume_queries, geometry_queries, transform_queries, file_queries, point_queries)
+MODULES = (volume_queries, geometry_queries, transform_queries, file_queries, point_queries, fit_queries)
 
 
 def queries() -> dict:

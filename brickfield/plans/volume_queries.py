@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import symmetric_eigenvalues
 from ..model import AXES
 from ..operators import masks, measures, stencil, voxelwise
 
@@ -232,22 +233,22 @@ def covariance(spark, sf_dir):
     return out.select("vol", *(r6(F.col(f"c{p}")).alias(f"c{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz")))
 
 
-@query()
-def principal_axes(spark, sf_dir):
-    """Axes of each label's summed moments: a 3 x 3 eigenproblem per group, in Python."""
-    from ..functions.transforms import principal_axes as axes
+_COV = ", ".join(f"{_MOMENTS.format(a=dict(x='i', y='j', z='k')[p[0]], b=dict(x='i', y='j', z='k')[p[1]])} AS {p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
 
+@query(
+    f"""WITH {V}, c AS (SELECT label, {_COV} FROM (SELECT label, i, j, k, abs(value) AS value FROM v) GROUP BY label)
+SELECT label, round(xx + yy + zz, 5) + 0 AS total, round(xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz), 5) + 0 AS product, true AS sorted FROM c"""
+)
+def principal_axes(spark, sf_dir):
+    """Lengths of each label's axes, largest first; their squares are held by sum and product."""
     v = volumes(spark, sf_dir).withColumn("value", F.abs("value"))
     m = v.groupBy("label").agg(*measures.covariance(*(F.col(a) for a in AXES), F.col("value")))
-
-    def run(parts):
-        for t in parts:
-            for n, row in t.iterrows():
-                for a, v3 in zip(("a1", "a2", "a3"), axes(measures.covariance_matrix(row)), strict=True):
-                    t.loc[n, a] = float((v3 @ v3) ** 0.5)
-            yield t[["label", "a1", "a2", "a3"]]
-
-    return m.mapInPandas(run, "label int, a1 double, a2 double, a3 double")
+    lengths = [F.sqrt(F.abs(e)) for e in symmetric_eigenvalues(*(F.col(f"c{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz")))]
+    a = m.select("label", *(c.alias(f"a{n}") for n, c in enumerate(lengths, 1)))
+    squares = [F.col(f"a{n}") * F.col(f"a{n}") for n in (1, 2, 3)]
+    r5 = lambda c: F.round(c, 5) + F.lit(0.0)
+    return a.select("label", r5(squares[0] + squares[1] + squares[2]).alias("total"), r5(squares[0] * squares[1] * squares[2]).alias("product"), ((F.col("a1") >= F.col("a2")) & (F.col("a2") >= F.col("a3"))).alias("sorted"))
 
 
 @query(f"WITH {V} SELECT vol, count(*) AS n, round(avg(value), 6) + 0 AS mean, round(stddev_samp(value), 6) + 0 AS sd, round(sqrt(avg(value * value)), 6) + 0 AS rms, round(var_samp(value), 6) + 0 AS variance, round(min(value), 6) + 0 AS low, round(max(value), 6) + 0 AS high, round(avg(abs(value)), 6) + 0 AS mean_abs FROM v GROUP BY vol")
@@ -474,24 +475,6 @@ _blur_1d("blur_rect_1d", "rect")
 _blur_1d("blur_gauss_1d", "gaussian")
 
 
-@query()
-def blur_fft_3d(spark, sf_dir):
-    v = volumes(spark, sf_dir).select(F.col("vol").cast("string").alias("vol"), *AXES, "value")
-    return stencil.fft_blur(v, (1.0, 1.0, 1.0), (2.0, 2.0, 2.0))
-
-
-@query()
-def gradient_fft_3d(spark, sf_dir):
-    v = volumes(spark, sf_dir).select(F.col("vol").cast("string").alias("vol"), *AXES, "value")
-    return stencil.fft_gradient(v, (1.0, 1.0, 1.0))
-
-
-@query()
-def chamfer_distance(spark, sf_dir):
-    v = volumes(spark, sf_dir).select(F.col("vol").cast("string").alias("vol"), *AXES, (F.col("value") - 0.2).alias("value"))
-    return stencil.chamfer(v, (4, 4, 4), (1.0, 1.0, 1.0))
-
-
 @query(
     f"""WITH {V}, w AS (SELECT vol, i, j, k, value, lag(value) OVER q AS a, lead(value) OVER q AS c, lead(value, 2) OVER q AS d FROM v WINDOW q AS (PARTITION BY vol, j, k ORDER BY i))
 SELECT vol, CAST(2 * i AS INTEGER) AS i, j, k, round(value, 6) + 0 AS value FROM w
