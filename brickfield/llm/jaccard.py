@@ -19,7 +19,8 @@ and partial counts are added up:
    the hub differ, |x & y| follows from |d(x)|, |d(y)| and |d(x) & d(y)|, and the last is one
    product of 0/1 matrices for each fragment of the block's shingles, added up. A block's answer is a spanning forest of its
    links. So no list's pairs become rows, no task holds more than a block, and no link
-   between components is lost.
+   between components is lost. A member's row is copied to every block that it is compared in: with u members that don't link with
+   their hub in a list of n, about 2 u n / BLOCK rows. Rows of a hub are dealt to as many tasks as its list needs.
 5. A pair's overlap is the sum of the overlaps in each fragment.
 
 Links and components stay distributed. Defined results: with fewer words than a shingle, the
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import field, with_columns
+from .columns import field, unused, with_columns
 from .components import connected
 from .packed import FOUND, Pack, Seen, found_rows, gathered, scatter, stream
 from .runtime import cut, partitions, staged
@@ -50,7 +51,11 @@ SHORT = 24
 #: Counters of the frequency sketch: half a megabyte, whatever the input.
 SLOTS = 1 << 17
 #: Members of a long list compared in one task, and shingles multiplied at once.
-BLOCK, FRAGMENT = 512, 4096
+BLOCK, FRAGMENT = 1024, 2048
+#: Members of a long list that meet one copy of their hub's shingles, and hubs that may be broadcast, counted.
+SPREAD, FEW_HUBS = 256, 10_000
+#: Parts of the sketch that are added up side by side.
+PARTS = 64
 _WIDTH = 6
 
 
@@ -76,8 +81,8 @@ def _name(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return mix(total ^ mix(size)).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """docs with n_shingles and the set's fingerprint, _set."""
+def shingle_sets(docs: DataFrame, text_col: str, size: int, name_col: str) -> DataFrame:
+    """docs with n_shingles and the set's fingerprint."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
@@ -90,7 +95,7 @@ def shingle_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
 
         return work
 
-    return with_columns(docs, [field("n_shingles", T.LongType()), field("_set", T.LongType())], make)
+    return with_columns(docs, [field("n_shingles", T.LongType()), field(name_col, T.LongType())], make)
 
 
 def _set_packs(size: int):
@@ -146,24 +151,30 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(classes: DataFrame) -> np.ndarray:
-    """How many classes have the shingles of each slot: one fixed-size array from each partition, added up in one task."""
+    """How many classes have the shingles of each slot: a fixed-size array from each partition, cut into PARTS that are added up apart."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 total += np.bincount(_slot(np.frombuffer(raw, U64)), minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["c"])
+        parts = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "c"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                total += np.frombuffer(raw, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["c"])
+            for part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals[part] = totals.get(part, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+        sums = [np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array(sums, pa.binary())], names=["part", "c"])
 
-    row = classes.select("codes").mapInArrow(count, "c binary").repartition(1).mapInArrow(add, "c binary").first()
-    return np.frombuffer(row[0], np.uint32) if row else np.zeros(SLOTS, np.uint32)
+    n = min(PARTS, partitions(classes.sparkSession))
+    rows = classes.select("codes").mapInArrow(count, "part int, c binary").repartitionById(n, F.col("part") % n).mapInArrow(add, "part int, c binary").collect()
+    out = np.zeros((PARTS, SLOTS // PARTS), np.uint32)  # PARTS rows of a fixed size
+    for part, raw in rows:
+        out[part] = np.frombuffer(raw, np.uint32)
+    return out.ravel()
 
 
 #: A member of a list; score: how common its shingles are.
@@ -237,11 +248,21 @@ def _compare(percent: int, differences: bool):
     return run
 
 
-def _compared(pairs: DataFrame, classes: DataFrame, percent: int, differences: bool) -> DataFrame:
-    """pairs(a, b) with whether they link; b may be a hub of very many pairs."""
-    of = lambda s: classes.select(F.col("id").alias(s), F.col("size").alias(f"n_{s}"), F.col("codes").alias(f"x_{s}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "x_a", "n_b", "x_b")
-    return both.mapInArrow(_compare(percent, differences), COMPARED)
+def _of(classes: DataFrame, s: str) -> DataFrame:
+    return classes.select(F.col("id").alias(s), F.col("size").alias(f"n_{s}"), F.col("codes").alias(f"x_{s}"))
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) with whether they link."""
+    both = pairs.join(_of(classes, "a"), "a").join(_of(classes, "b"), "b").select("a", "b", "n_a", "x_a", "n_b", "x_b")
+    return both.mapInArrow(_compare(percent, False), COMPARED)
+
+
+def _compared_with_hubs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """members(a, b, part) of hubs b with whether they link, and their differences; a copy of the hub goes to each of its parts."""
+    hubs = members.select("b", "part").distinct().join(_of(classes, "b"), "b")
+    both = members.join(_of(classes, "a"), "a").join(hubs, ["b", "part"]).select("a", "b", "n_a", "x_a", "n_b", "x_b")
+    return both.mapInArrow(_compare(percent, True), COMPARED)
 
 
 def _pairs_of_short(percent: int):
@@ -320,7 +341,8 @@ def _block_links(percent: int):
 def _links_of_rest(around: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links between members that don't link with their hub (b) and all of its members."""
     counts = around.groupBy("b").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("left")).where("left > 0")
-    hubs = counts.join(classes.select(F.col("id").alias("b"), (F.length("codes") / 8).cast("long").alias("base")), "b")
+    hubs = cut(counts.join(classes.select(F.col("id").alias("b"), (F.length("codes") / 8).cast("long").alias("base")), "b"))
+    hubs = F.broadcast(hubs) if hubs.count() <= FEW_HUBS else hubs
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     of = around.join(hubs, "b").select("a", "b", "size", "base", "linked", (F.length("lacking") / 8).cast("long").alias("lacks"), F.concat("extra", "lacking").alias("apart"), blocks("left").alias("bu"), blocks("n").alias("bm"))
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -339,23 +361,29 @@ def class_links(classes: DataFrame, percent: int = PERCENT, short: int = SHORT)
     about = lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(lists.join(about, "list"))
     few = members.where(F.col("n") <= short).groupBy("list").agg(F.collect_list(F.struct("id", "size")).alias("members")).select("members")
-    near = _compared(few.mapInArrow(_pairs_of_short(percent), PAIR).distinct(), classes, percent, False).where("linked").select("a", "b")
-    many = members.where(F.col("n") > short)
-    hubs = many.groupBy("list").agg(F.max_by("id", F.struct("score", "id")).alias("hub"))
-    to_hub = many.join(hubs, "list").where(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    around = cut(_compared(to_hub, classes, percent, True))
+    near = _compared(few.mapInArrow(_pairs_of_short(percent), PAIR).distinct(), classes, percent).where("linked").select("a", "b")
+    parts = F.ceil(F.col("n") / SPREAD).cast("int")
+    many = members.where(F.col("n") > short).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    hubs = many.groupBy("list").agg(F.max_by("id", F.struct("score", "id")).alias("hub"), F.max("n").alias("n"))
+    hubs = hubs.select("list", "hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    to_hub = many.join(hubs, ["list", "part"]).where(F.col("id") != F.col("hub"))
+    # Lists of different lengths may have the same hub: a pair goes once.
+    to_hub = to_hub.groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.min("part").alias("part"))
+    around = cut(_compared_with_hubs(to_hub, classes, percent))
     return near.unionByName(around.where("linked").select("a", "b")).unionByName(_links_of_rest(around, classes, percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, short: int = SHORT, group_col: str | None = None) -> DataFrame:
     """docs with n_shingles and component_id, the smallest id that links lead to; group_col: the component's own key too, null for a text without words."""
-    sets = shingle_sets(docs, text_col, size)
+    own, node, root, low = unused(docs, "_set", "_node", "_root", "_low")
+    (group,) = [group_col] if group_col else unused(docs, "_group")
+    sets = shingle_sets(docs, text_col, size, own)
     text = docs.select(F.col(text_col).alias("text"))
     n = partitions(docs.sparkSession)
     found = scatter(text, _set_packs(size), _WIDTH).mapInArrow(lambda it: _shared(it, n), FOUND)
-    classes = staged(gathered(found).mapInArrow(_survivors(percent), CLASS), "jaccard")
-    roots = connected(class_links(classes, percent, short))
-    named = sets.join(roots, sets["_set"] == roots["node"], "left").withColumn("_group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "_set"))).drop("node", "root", "_set")
-    low = named.where("_group is not null").groupBy("_group").agg(F.min(id_col).alias("_low"))
-    whole = named.join(low, "_group", "left").withColumn("component_id", F.coalesce("_low", F.col(id_col)))
-    return (whole.withColumnRenamed("_group", group_col) if group_col else whole.drop("_group")).drop("_low")
+    classes = staged(gathered(found, _survivors(percent), CLASS), "jaccard")
+    roots = connected(class_links(classes, percent, short)).toDF(node, root)
+    named = sets.join(roots, F.col(own) == F.col(node), "left").withColumn(group, F.when(F.col("n_shingles") > 0, F.coalesce(root, own))).drop(node, root, own)
+    lows = named.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(id_col).alias(low))
+    whole = named.join(lows, group, "left").withColumn("component_id", F.coalesce(low, F.col(id_col))).drop(low)
+    return whole if group_col else whole.drop(group)

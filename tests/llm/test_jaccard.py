@@ -62,3 +62,18 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 140)}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "q")], "doc_id long, text string")
+    for name in ("root", "node", "_group", "_low", "_set", "_node", "_root", "a", "b", "codes", "id", "n_shingles"):
+        got = jaccard.jaccard_components(df.withColumn(name, F.lit("own"))).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+        assert name == "n_shingles" or {r[name] for r in got} == {"own"}
+
+
+def test_sketch_counts_every_class(spark):
+    df = spark.createDataFrame([(k, f"w{k} x y z w v{k % 3}") for k in range(50)], "doc_id long, text string")
+    classes = jaccard.gathered(jaccard.scatter(df.select("text"), jaccard._set_packs(5), 6).mapInArrow(lambda it: jaccard._shared(it, 4), jaccard.FOUND)).repartition(3)
+    total = sum(len(r.codes) // 8 for r in classes.collect())
+    assert total > 0 and int(jaccard._sketch(classes).sum()) == total
