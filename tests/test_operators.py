@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from brickfield.functions import columns as cx
 from brickfield.functions import transforms as tr
 from brickfield.model import AXES, Geometry
-from brickfield.operators import lattice, masks, measures, sample, stencil, xfmops
+from brickfield.operators import lattice, masks, measures, sample, scattered, stencil, xfmops
 from brickfield.sources import files, phantoms
 
 G = Geometry((8, 8, 8), (2.0, 2.0, 2.0), (-8.0, -8.0, -8.0))
@@ -104,3 +105,65 @@ def test_class_volumes_and_tubes(spark):
     labels = {r["label"] for r in measures.argmax_label(both).collect()}
     assert labels == {7, 9}
     assert masks.is_tube(F.lit(10.0), F.lit(9.0), F.lit(1.0), F.lit(1.0), 5, 20) is not None
+
+
+def test_nearest_nodes_and_lines_of_odd_points(spark):
+    """Points without numbers find nothing, and the search ends; ties go to the smaller node; few nodes give few rows."""
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 0.0, 0.0), (3, float("nan"), 1.0, 1.0), (4, 1e6, 0.0, 0.0)], "pid long, x double, y double, z double")
+    nodes = spark.createDataFrame([(7, 1.0, 0.0, 0.0), (5, -1.0, 0.0, 0.0), (9, None, 0.0, 0.0)], "node long, x double, y double, z double")
+    got = {(r.pid, r.rank): (r.node, r.distance) for r in scattered.nearest_nodes(points, nodes, 3).collect()}
+    assert got == {(1, 1): (5, 1.0), (1, 2): (7, 1.0), (4, 1): (7, 1e6 - 1), (4, 2): (5, 1e6 + 1)}
+    assert {r.pid: r.distance for r in sample.nearest_object(points, nodes).collect()} == {1: 1.0, 2: None, 3: None, 4: 1e6 - 1}
+    assert scattered.nearest_nodes(points, nodes.limit(0), 2).count() == 0
+    lines = spark.createDataFrame([(0.0, 3.0, 0.0, 10.0, 3.0, 0.0), (5.0, 5.0, 5.0, 5.0, 5.0, 5.0)], "x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    far = {r.pid: r.distance for r in sample.nearest_line(points, lines, 2.0).collect()}
+    assert far[1] == 3.0 and far[2] is None and far[3] is None and np.isclose(far[4], np.hypot(1e6 - 10, 3))
+    assert {r.distance for r in sample.nearest_line(points, lines.limit(0), 2.0).collect()} == {None}
+
+
+def test_chamfer_takes_every_voxel_that_is_not_zero(spark):
+    v = sample.node_points((5, 5, 5), spark).select(F.lit("v").alias("vol"), *AXES, F.when(F.expr("i = 2 and j = 2 and k = 2"), -1.0).otherwise(0.0).alias("value"))
+    got = {(r.i, r.j, r.k): r.value for r in stencil.chamfer(v, (5, 5, 5), (1.0, 1.0, 1.0)).collect()}
+    assert got[2, 2, 2] == 0 and got[1, 2, 2] == 1 and np.isclose(got[1, 1, 1], 3**0.5) and got[0, 0, 0] == 50
+
+
+def test_boxes_smooth_histograms_as_the_table_does(spark):
+    from brickfield.operators import optimise
+
+    h = np.arange(36.0).reshape(6, 6) ** 1.5
+    rows = spark.createDataFrame([(i, j, float(h[i, j])) for i in range(6) for j in range(6)], "b1 int, b2 int, w double")
+    for size in (3, 5):
+        got = {(r.b1, r.b2): r.blurred for r in measures.blur_joint(rows, "b1", "b2", "w", 6, size).collect()}
+        want = optimise._box_mean(optimise._box_mean(h, size).T, size).T
+        assert np.allclose([[got[i, j] for j in range(6)] for i in range(6)], want)
+
+
+def test_target_masks_count_in_both_engines(spark):
+    from brickfield.operators import optimise
+
+    one = phantoms.ellipsoid(spark, G, width=(10.0, 12.0, 8.0))
+    two = one.withColumn("value", F.col("value") + F.col("i") * 0.01)
+    mask = one.withColumn("value", (F.col("i") >= 4).cast("double"))
+    for name in ("xcorr", "nmi"):
+        masked, whole = [], []
+        for local in (True, False):
+            for m, out in ((mask, masked), (None, whole)):
+                e = optimise.Evaluator(one, G, two, G, name, (2.0,) * 3, target_mask=m, local=local)
+                out.append(e([tr.from_degrees((0.3, 0.2, -0.4))])[0])
+                e.close()
+        assert np.isclose(*masked) and np.isclose(*whole) and not np.isclose(masked[0], whole[0])
+
+
+def test_columns_agree_with_numpy(spark):
+    r = np.random.default_rng(2)
+    rows = [(n, *(float(x) for x in r.uniform(-1, 1, 6))) for n in range(40)]
+    names = ("xx", "xy", "xz", "yy", "yz", "zz")
+    df = spark.createDataFrame(rows, "n int, " + ", ".join(f"{c} double" for c in names))
+    e = cx.symmetric_eigenvalues(*(F.col(c) for c in names))
+    for row in df.select("n", *(c.alias(f"e{k}") for k, c in enumerate(e))).collect():
+        xx, xy, xz, yy, yz, zz = rows[row.n][1:]
+        assert np.allclose(sorted(np.linalg.eigvalsh([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]), reverse=True), row[1:], atol=1e-7)
+    low, high = cx.moved_bounds([[F.lit(float(x)) for x in m] for m in tr.from_degrees((1, 2, 3), (10, 20, 30))[:3]], [F.lit(-1.0)] * 3, [F.lit(2.0)] * 3)
+    (row,) = spark.range(1).select(*(c.alias(f"l{k}") for k, c in enumerate(low)), *(c.alias(f"h{k}") for k, c in enumerate(high))).collect()
+    want = lattice.transform_bounds([(-1, 2)] * 3, tr.from_degrees((1, 2, 3), (10, 20, 30)))
+    assert np.allclose(row, [a for a, _ in want] + [b for _, b in want])
