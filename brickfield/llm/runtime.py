@@ -36,13 +36,14 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back."""
     path = fresh_dir(df.sparkSession, what)
     df.write.parquet(path)
+    until_the_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def until_the_end(spark: SparkSession, path: str) -> None:
+    """Marks a written folder of intermediate files for removal when the driver's JVM ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,11 +8,14 @@ names and lengths. Folder layout, all Parquet:
     objects/   chunks (kind 0: name, ids) and recipes as they are made (kind 1)
     manifest/  the recipes in ascending document id order: shard, row, doc_id, start in the shard, root
     roots/     a row for each shard: ids, documents, Merkle root over its documents' roots
+    whole/     one row: shards, documents, ids, Merkle root over the shards' roots
 
-A document's root is the hash of its chunks' names, a shard's the hash of its documents'
-roots. Reading back recomputes every name and root from what is stored and fails where one
-differs. The CRC-32 of a document is put together from its chunks' (a CRC is linear over
-GF(2)), so reading back moves names and numbers, not ids; `reconstruct` gives the ids.
+Merkle roots are of binary hash trees, built while streaming: a document's over its chunks' names, a shard's over its documents'
+roots, the store's over its shards'. Reading back recomputes every name, root and count from what is stored, holds them against
+what is recorded in both directions, and fails where one differs or is missing. The CRC-32 of a
+document is put together from its chunks' (a CRC is linear over GF(2)), so reading back moves names and numbers,
+not ids; `reconstruct` gives the ids. Each shard asks once for each chunk that it names, so a chunk of very many documents makes
+as many rows as there are shards.
 
 Ids are stored as 2-byte numbers if the chunk's fit, else 4-byte, little-endian, behind one byte
 that says which. Defined results: a null or empty text is END_ID alone; documents with equal
@@ -36,8 +39,8 @@ from pyspark.sql import types as T
 from .chunks import Encoder
 from .columns import field
 from .packed import PACK_BYTES
-from .runtime import drop_dir, fresh_dir, partitions
-from .vocab import default_path, json_tokenizer
+from .runtime import fresh_dir, partitions, until_the_end
+from .vocab import default_path, hold, json_tokenizer
 from .wordscan import NOT_SPACE, U64, batches_of, mix, scan, text_slices
 
 END_ID = 1
@@ -66,6 +69,33 @@ class CorruptStore(ValueError):
     pass
 
 
+class Merkle:
+    """The root of a binary hash tree over leaves (hashes) that come one by one; memory grows with the logarithm of their number."""
+
+    def __init__(self, leaves: Iterator[bytes] = ()) -> None:
+        self.stack: list[tuple[int, bytes]] = []
+        for leaf in leaves:
+            self.push(leaf)
+
+    def push(self, leaf: bytes) -> None:
+        node = (0, leaf)
+        while self.stack and self.stack[-1][0] == node[0]:
+            node = (node[0] + 1, hashlib.sha256(b"\1" + self.stack.pop()[1] + node[1]).digest())
+        self.stack.append(node)
+
+    def root(self) -> bytes:
+        """Incomplete trees join from the last to the first; without leaves, the hash of nothing."""
+        out = self.stack[-1][1] if self.stack else hashlib.sha256(b"").digest()
+        for _, node in reversed(self.stack[:-1]):
+            out = hashlib.sha256(b"\1" + node + out).digest()
+        return out
+
+
+def recipe_root(names: bytes) -> bytes:
+    """The root of a document over its chunks' names, 32 bytes each."""
+    return names if len(names) == 32 else Merkle(names[k : k + 32] for k in range(0, len(names), 32)).root()
+
+
 def pack_ids(ids: np.ndarray) -> bytes:
     small = not len(ids) or int(ids.max()) < 1 << 16
     return (b"\x02" + ids.astype("<u2").tobytes()) if small else (b"\x04" + ids.astype("<u4").tobytes())
@@ -131,8 +161,11 @@ def splits_at_runs(tokenizer: str) -> bool:
     return plain and t["normalizer"] == _CHECKED_NORMALIZER and t["pre_tokenizer"] == _CHECKED_SPLITTER and not t["truncation"] and not t["padding"]
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
+    return hold(("ids", path), lambda: _make_encoder(path))
+
+
+def _make_encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,9 +238,10 @@ def _objects(tokenizer: str, n: int):
                         rows.append((int.from_bytes(name[:4], "little") % n, 0, name, raw, None, None, None, None, None))
                 for d, parts in recipes.items():
                     names = b"".join(x for x, _ in parts)
-                    root = hashlib.sha256(names).digest()
+                    root = recipe_root(names)
                     sizes = np.array([s for _, s in parts], "<u4")
-                    rows.append((int.from_bytes(root[:4], "little") % n, 1, None, None, doc_ids[i + d], int(sizes.sum()), names, sizes.tobytes(), root))
+                    # Recipes are spread by id and place in the slice, not by content, so copies don't meet.
+                    rows.append((((doc_ids[i + d] or 0) * 0x9E3779B1 + d * 0x85EBCA77 >> 7) % n, 1, None, None, doc_ids[i + d], int(sizes.sum()), names, sizes.tobytes(), root))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OBJECT_ARROW, strict=True)], schema=_OBJECT_ARROW)
 
     return run
@@ -258,21 +292,40 @@ def _shard_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The Merkle root of each shard of a partition sorted by shard and row."""
     now, out = None, []
     for batch in batches:
-        for shard, _, tokens, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for shard, row, tokens, names, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if recipe_root(names) != root:
+                raise CorruptStore(f"the recipe in row {row} of shard {shard} doesn't have its root")
             if now is None or now[0] != shard:
                 if now:
                     out.append(now)
-                now = [shard, 0, 0, hashlib.sha256()]
+                now = [shard, 0, 0, Merkle()]
             now[1] += 1
             now[2] += tokens
-            now[3].update(root)
+            now[3].push(root)
     out += [now] if now else []
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3].digest() for r in out], pa.binary())], names=ROOTS.names)
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3].root() for r in out], pa.binary())], names=ROOTS.names)
 
 
 def _roots(manifest: DataFrame) -> DataFrame:
     n = partitions(manifest.sparkSession)
-    return manifest.select("shard", "row", "n_tokens", "root").repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", "row").mapInArrow(_shard_roots, ROOTS)
+    return manifest.select("shard", "row", "n_tokens", "names", "root").repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", "row").mapInArrow(_shard_roots, ROOTS)
+
+
+WHOLE = T.StructType([field("n_shards", T.LongType()), field("n_docs", T.LongType()), field("n_tokens", T.LongType()), field("root", T.BinaryType())])
+
+
+def _whole_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shards, docs, tokens, tree = 0, 0, 0, Merkle()
+    for batch in batches:
+        for _, n, t, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shards, docs, tokens = shards + 1, docs + n, tokens + t
+            tree.push(root)
+    yield pa.RecordBatch.from_arrays([pa.array([shards]), pa.array([docs]), pa.array([tokens]), pa.array([tree.root()], pa.binary())], names=WHOLE.names)
+
+
+def _whole(roots: DataFrame) -> DataFrame:
+    """The store's one row, from one row for each shard (as many as the store was written with partitions)."""
+    return roots.repartition(1).sortWithinPartitions("shard").mapInArrow(_whole_root, WHOLE)
 
 
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> None:
@@ -287,6 +340,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     ordered = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered.mapInArrow(_number, MANIFEST).write.parquet(f"{path}/manifest")
     _roots(spark.read.schema(MANIFEST).parquet(f"{path}/manifest")).write.parquet(f"{path}/roots")
+    _whole(spark.read.schema(ROOTS).parquet(f"{path}/roots")).write.parquet(f"{path}/whole")
 
 
 def _multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -330,31 +384,73 @@ def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=_CHECKED.names)
 
 
-_PART = T.StructType([field("shard", T.IntegerType()), field("row", T.LongType()), field("seq", T.LongType()), field("name", T.BinaryType()), field("size", T.LongType()), field("after", T.LongType())])
+_NEED = T.StructType([field("shard", T.IntegerType()), field("name", T.BinaryType())])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of each recipe, after checking the document's root."""
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names that a task's recipes use, once for each shard."""
+    seen: set[tuple[int, bytes]] = set()
     for batch in batches:
-        out = []
-        for shard, row, names, sizes, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if hashlib.sha256(names).digest() != root:
-                raise CorruptStore(f"the recipe in row {row} of shard {shard} doesn't have its root")
-            size = np.frombuffer(sizes, "<u4").astype(np.int64)
-            after = size.sum() - np.cumsum(size)
-            out += [(shard, row, k, names[32 * k : 32 * k + 32], int(s), int(a)) for k, (s, a) in enumerate(zip(size, after, strict=True))]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        columns = zip(*out, strict=True) if out else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_PART.names)
+        new = []
+        for shard, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(0, len(names), 32):
+                if (key := (shard, names[k : k + 32])) not in seen:
+                    seen.add(key)
+                    new.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in new], pa.int32()), pa.array([x for _, x in new], pa.binary())], names=_NEED.names)
+
+
+#: Answers (kind 0: name, ids stored, CRC) and recipes (kind 1), on their way to their shard.
+_TOLD = T.StructType([field("shard", T.IntegerType()), field("kind", T.IntegerType()), field("row", T.LongType()), field("name", T.BinaryType()), field("stored", T.LongType()), field("crc", T.LongType()), field("sizes", T.BinaryType()), field("doc_id", T.LongType()), field("start", T.LongType())])
+_READ = T.StructType([field("shard", T.IntegerType()), field("doc_id", T.LongType()), field("start", T.LongType()), field("n_tokens", T.LongType()), field("ids_crc32", T.LongType())])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each recipe's length and CRC from its chunks'; a shard's answers come before its recipes."""
+    told: dict[bytes, int] = {}
+    stored, crcs, now = [], [], None
+
+    def settled(at: list[int], counts: list[int], sizes: list[bytes], docs: list, starts: list[int]) -> pa.RecordBatch:
+        place, ends = np.array(at, np.int64), np.cumsum(counts)
+        size = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+        if len(size) != len(place) or not np.array_equal(size, np.array(stored, np.int64)[place]):
+            raise CorruptStore("a recipe names a chunk that isn't stored in its length")
+        total = np.cumsum(size)
+        tokens = np.diff(np.concatenate([[0], total[ends - 1]]))
+        add = shifted_crc(np.array(crcs, np.int64)[place], 4 * (np.repeat(total[ends - 1], counts) - total))
+        whole = np.bitwise_xor.reduceat(add, ends - counts).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(tokens), pa.array(whole)], names=_READ.names)
 
+    for batch in batches:
+        rows = ([], [], [], [], [])
+        for shard, kind, _, name, held, crc, size, doc, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now:
+                if rows[1]:
+                    yield settled(*rows)
+                rows, told, stored, crcs, now = ([], [], [], [], []), {}, [], [], shard
+            if kind == 0:
+                if held is None:
+                    raise CorruptStore(f"chunk {name.hex()} isn't stored")
+                told[name] = len(stored)
+                stored.append(held)
+                crcs.append(crc)
+                continue
+            rows[0].extend(told[name[x : x + 32]] for x in range(0, len(name), 32))
+            for column, value in zip(rows[1:], (len(name) // 32, size, doc, start), strict=True):
+                column.append(value)
+        if rows[1]:
+            yield settled(*rows)
+
+
+_PART = T.StructType([field("shard", T.IntegerType()), field("row", T.LongType()), field("seq", T.LongType()), field("name", T.BinaryType())])
 
-def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of each recipe."""
     for batch in batches:
-        shard, row, size, after, stored, crc = batch.columns
-        if stored.null_count or not size.equals(stored):
-            raise CorruptStore("a recipe names a chunk that isn't stored, or not in its length")
-        add = shifted_crc(crc.to_numpy(), after.to_numpy() * 4) if batch.num_rows else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([shard, row, size, pa.array(add.astype(np.int64))], names=["shard", "row", "size", "add"])
+        out = [(shard, row, k // 32, names[k : k + 32]) for shard, row, names in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in range(0, len(names), 32)]
+        columns = zip(*out, strict=True) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_PART.names)
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -363,31 +459,41 @@ def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def verify_roots(spark: SparkSession, path: str) -> None:
-    """Fails unless every shard's Merkle root follows from its manifest."""
+    """Fails unless the recipes have their roots, every shard's Merkle root and counts follow from its manifest, no shard is
+    missing on either side, and the store's root and counts follow from the shards'."""
     _, manifest, roots = _tables(spark, path)
-    if not _roots(manifest).exceptAll(roots).isEmpty():
-        raise CorruptStore("a shard's manifest doesn't have its root")
+    found = _roots(manifest).select("shard", F.struct("n_docs", "n_tokens", "root").alias("found"))
+    stated = roots.select("shard", F.struct("n_docs", "n_tokens", "root").alias("stated"))
+    wrong = found.join(stated, "shard", "full").where(~F.col("found").eqNullSafe(F.col("stated")))
+    if not wrong.isEmpty():
+        raise CorruptStore("a shard's manifest doesn't have its root, or one of them is missing")
+    whole = spark.read.schema(WHOLE).parquet(f"{path}/whole")
+    if [tuple(r) for r in whole.limit(2).collect()] != [tuple(r) for r in _whole(roots).collect()]:
+        raise CorruptStore("the store's shards don't have its root")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the stored files, all checked."""
     verify_roots(spark, path)
+    n = partitions(spark)
     objects, manifest, roots = _tables(spark, path)
     chunks = objects.mapInArrow(_check_chunks, _CHECKED)
-    parts = manifest.select("shard", "row", "names", "sizes", "root").mapInArrow(_parts, _PART)
-    joined = parts.join(chunks, "name", "left").select("shard", "row", "size", "after", "stored", "crc")
-    added = joined.mapInArrow(_contributions, "shard int, row long, size long, add long")
-    whole = added.groupBy("shard", "row").agg(F.sum("size").alias("n_tokens"), F.bit_xor("add").alias("ids_crc32"))
+    needs = manifest.select("shard", "names").mapInArrow(_needs, _NEED)
+    none = lambda *names: [F.lit(None).cast(_TOLD[c].dataType).alias(c) for c in names]
+    answers = needs.join(chunks, "name", "left").select("shard", F.lit(0).alias("kind"), *none("row"), "name", "stored", "crc", *none("sizes", "doc_id", "start"))
+    recipes = manifest.select("shard", F.lit(1).alias("kind"), "row", F.col("names").alias("name"), *none("stored", "crc"), "sizes", "doc_id", "start")
+    told = answers.unionByName(recipes).select(_TOLD.names)
+    read = told.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", "kind").mapInArrow(_assemble, _READ)
     # One row for each shard: as many as the store was written with partitions.
     before = roots.withColumn("before", F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    places = manifest.select("shard", "row", "doc_id", F.col("start").alias("own")).join(F.broadcast(before.select("shard", F.coalesce("before", F.lit(0)).alias("before"))), "shard")
-    return places.join(whole, ["shard", "row"]).select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    own = F.broadcast(before.select("shard", F.coalesce("before", F.lit(0)).alias("before")))
+    return read.join(own, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """shard, row, doc_id and the ids of each document (array of int)."""
     objects, manifest, _ = _tables(spark, path)
-    parts = manifest.select("shard", "row", "names", "sizes", "root").mapInArrow(_parts, _PART)
+    parts = manifest.select("shard", "row", "names").mapInArrow(_parts, _PART)
     joined = parts.join(objects, "name").groupBy("shard", "row").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,10 +506,11 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Writes a store into the shared folder and reads it back."""
+    """Writes a store into the shared folder and reads it back; it goes when the session's JVM ends."""
     path = fresh_dir(docs.sparkSession, "tokenstore")
     write_store(docs, path, id_col, text_col, tokenizer)
+    until_the_end(docs.sparkSession, path)
     return read_store(docs.sparkSession, path)
 
 
-__all__ = ["CorruptStore", "drop_dir", "read_store", "reconstruct", "store_and_read", "verify_roots", "write_store"]
+__all__ = ["CorruptStore", "read_store", "reconstruct", "store_and_read", "verify_roots", "write_store"]

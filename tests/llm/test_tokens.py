@@ -1,9 +1,12 @@
 """Token ids against the libraries' own encoding of whole texts, and exact round trips."""
 
+import shutil
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -163,14 +166,39 @@ def test_store_reconstructs_and_notices_damage(spark, tmp_path):
     assert stored.count() == stored.select("name").distinct().count()
     assert stored.agg(F.sum(F.length("ids"))).first()[0] < 2 * 1.5 * len(back[8]) + 1000
     copy = str(tmp_path / "bad")
+    shutil.copytree(path, copy)
+    shutil.rmtree(f"{copy}/objects")
     objects = spark.read.parquet(f"{path}/objects")
     objects.withColumn("ids", F.when(F.col("kind") == 0, F.concat("ids", F.lit(b"\0\0")))).write.parquet(f"{copy}/objects")
-    for part in ("manifest", "roots"):
-        spark.read.parquet(f"{path}/{part}").write.parquet(f"{copy}/{part}")
     with pytest.raises(Exception, match="CorruptStore"):
         tokenstore.read_store(spark, copy).collect()
 
 
+def test_store_notices_missing_files(spark, tmp_path):
+    rows = [(k, f"text number {k} " * (k + 1)) for k in range(40)]
+    path = str(tmp_path / "store")
+    tokenstore.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert tokenstore.read_store(spark, path).count() == 40
+    files = sorted(p for p in Path(path).rglob("*.parquet") if pq.read_metadata(p).num_rows)
+    assert {p.parent.name for p in files} == {"objects", "manifest", "roots", "whole"}
+    for n, lost in enumerate(files):
+        copy = tmp_path / f"copy{n}"
+        shutil.copytree(path, copy)
+        (copy / lost.relative_to(path)).unlink()
+        with pytest.raises(Exception, match="CorruptStore|UNABLE_TO_INFER_SCHEMA"):
+            tokenstore.read_store(spark, str(copy)).collect()
+    both = tmp_path / "both"
+    shutil.copytree(path, both)
+    shard = next(p for p in files if p.parent.name == "manifest")
+    number = pq.read_table(shard).column("shard")[0].as_py()
+    (both / shard.relative_to(path)).unlink()
+    kept = spark.read.parquet(f"{path}/roots").where(F.col("shard") != number)
+    shutil.rmtree(both / "roots")
+    kept.write.parquet(str(both / "roots"))
+    with pytest.raises(Exception, match="CorruptStore"):
+        tokenstore.read_store(spark, str(both)).collect()
+
+
 def test_store_repeated_rows_and_empty_table(spark):
     rows = [(1, "b"), (1, "b"), (1, "a")]
     got = sorted((r.start, r.n_tokens) for r in tokenstore.store_and_read(spark.createDataFrame(rows, "doc_id long, text string")).collect())
