@@ -5,17 +5,15 @@ footers, sidebars, notices, adverts, forms, scripts, comments, by element, role
 open, inside <main>, inside <article>. The blocks that are not dropped, in page order, are the page's
 token stream.
 
-The streams of a host's pages are laid end to end and their suffix array is built by prefix
-doubling. Adjacent suffixes with a common prefix of RUN tokens or more form groups; a group whose
-suffixes stand in at least MIN_PAGES different pages, and MIN_SHARE of them, is boilerplate, and its tokens are
-covered. A page's text is what its blocks keep: blocks inside an article are kept whole, since
-the markup says that they are the article even where pages share a passage; of other blocks only
-the runs of tokens that are not covered stay (a covered run that reaches less than RUN tokens
-into a block leaves it alone, unless it covers the block). That holds beside an article or
-<main> too; only where a host has fewer than MIN_PAGES different pages, so that nothing can be seen to repeat, text beside them goes by markup.
-
-A host with more than HOST_PAGES pages is dealt into groups of about that many by page id, so that no task
-holds a whole host; boilerplate shows in every group. Pages with equal blocks count once.
+Text inside an article is kept whole, since the markup says that it is the article even where pages share a passage. What stands
+beside it, or on pages without one, is judged over the whole host. A host's pages are dealt into groups of about GROUP. In each, the
+streams of blocks outside articles are laid end to end and their suffix array is built by prefix doubling: adjacent suffixes with a common
+prefix of RUN tokens or more hold one passage, and a group tells for each of its passages up to MIN_PAGES different pages
+that hold it. These are added up by passage over all groups of the host, and a passage on MIN_PAGES different pages of
+the host, wherever they were dealt, is boilerplate. Its tokens are covered, and only the runs of tokens that
+are not covered stay (a covered run that reaches less than RUN tokens into a block leaves it alone, unless it covers the block). Where a
+host has fewer than MIN_PAGES different pages, so that nothing can be seen to repeat, text beside an article or <main> goes by
+markup. Pages with equal blocks count once. Passages are told apart between groups by 64-bit fingerprints.
 
 Defined results: null html is empty; a null url belongs to the empty host; repeated rows are
 pages of their own; an unclosed element ends with its parent; a `<` that opens no tag is text.
@@ -29,17 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import field, with_columns
+from .columns import field, unused, with_columns
+from .packed import FOUND, ROW, ROW_ARROW, found_rows, gathered, pack_rows, stream
 from .runtime import cut, partitions
 from .urlfilter import split_url
-from .wordscan import segments
+from .wordscan import U64, give_back, mix, segments
 
 DROPPED, OPEN, MAIN, ARTICLE = range(4)
-RUN, MIN_PAGES, MIN_SHARE, HOST_PAGES = 6, 3, 0.02, 200
+#: Tokens of a passage, and different pages of a host that make one boilerplate.
+RUN, MIN_PAGES = 8, 3
+#: Pages that one suffix array is built for; a larger host has several, whose counts are added up.
+GROUP = 200
+#: Large hosts are broadcast with their page counts if there are at most so many, counted.
 BROADCAST_HOSTS = 100_000
 _DEPTH = 64
 
@@ -226,40 +230,86 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def covered_tokens(streams: list[list[str]], run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> list[np.ndarray]:
-    """For each page's stream, which tokens lie in a run repeated across enough different pages."""
-    kinds: dict[tuple[str, ...], int] = {}
-    kind = np.array([kinds.setdefault(tuple(s), len(kinds)) for s in streams], np.int64)
-    names: dict[str, int] = {}
-    flat, page = [], []
-    for p, s in enumerate(streams):
-        flat += [names.setdefault(t, len(names)) for t in s]
-        flat.append(-1 - p)  # ends each stream with a token of its own
-        page += [p] * (len(s) + 1)
-    page = np.array(page, np.int64)
-    order, common = suffix_array(np.array(flat, np.int64))
-    group = np.cumsum(common < run)
-    of_page = np.unique(group * (len(kinds) + 1) + kind[page[order]])
-    spread = np.bincount(of_page // (len(kinds) + 1), minlength=int(group[-1]) + 1 if len(group) else 0)
-    boiler = spread[group] >= max(min_pages, min_share * len(kinds))
-    step = np.zeros(len(flat) + run + 1, np.int64)
-    np.add.at(step, order[boiler], 1)
-    np.add.at(step, order[boiler] + run, -1)
-    cover = np.cumsum(step)[: len(flat)] > 0
-    ends = np.cumsum([len(s) + 1 for s in streams])
-    return [cover[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends, strict=True)]
-
-
 _BREAK = "\n"
+_PAGES = U64(0x5DEECE66D2B5C1A3)
 
 
-def _stream(blocks: list[tuple[int, str]]) -> list[str]:
+def stream_of(blocks: list[tuple[int, str]]) -> list[str]:
+    """The tokens of the blocks outside articles, a break behind each block."""
     out = []
-    for _, text in blocks:
-        out += [*text.split(" "), _BREAK]
+    for zone, text in blocks:
+        if zone != ARTICLE:
+            out += [*text.split(" "), _BREAK]
+    return out
+
+
+def _fingerprint(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _host_key(host: str) -> np.uint64:
+    return U64(_fingerprint(host))
+
+
+def _runs(hashes: np.ndarray, at: np.ndarray, host: np.uint64) -> np.ndarray:
+    """Fingerprints, for this host, of the RUN tokens from each position on."""
+    out = np.full(len(at), host, U64)
+    for k in range(RUN):
+        out = mix(out * U64(3) + hashes[at + k])
     return out
 
 
+def passages(pages: list[list[tuple[int, str]]], host: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content, index of the page, key) of passages, up to MIN_PAGES different pages for each; content names pages with equal blocks.
+
+    One key stands for the host's pages themselves, so that their number is told like that of a passage.
+    """
+    contents = np.array([_fingerprint(f"{blocks}") for blocks in pages], U64).view(np.int64)
+    every = _host_key(host) ^ _PAGES
+    distinct = np.unique(contents, return_index=True)[1]
+    first = distinct[:MIN_PAGES]
+    names: dict[str, int] = {}
+    flat, page = [], []
+    for p in distinct.tolist():
+        s = stream_of(pages[p])
+        flat += [names.setdefault(t, len(names)) for t in s]
+        flat.append(-1 - p)  # ends each stream with a token of its own
+        page += [p] * (len(s) + 1)
+    hashes = np.append(np.array([_fingerprint(t) for t in names], U64), U64(0))
+    tokens, page = np.array(flat, np.int64), np.array(page, np.int64)
+    order, common = suffix_array(tokens)
+    left = np.diff(np.append(np.flatnonzero(tokens < 0), 0), prepend=-1)[:-1] if len(tokens) else tokens
+    room = np.concatenate([np.arange(n - 1, -1, -1) for n in left]) if len(left) else left  # tokens before the stream's end
+    group = np.cumsum(common < RUN)
+    live = room[order] >= RUN
+    order, group = order[live], group[live]
+    # The first MIN_PAGES pages of each run of suffixes with equal beginnings.
+    by = np.lexsort((page[order], group))
+    order, group = order[by], group[by]
+    new = np.ones(len(order), bool)
+    new[1:] = (group[1:] != group[:-1]) | (page[order[1:]] != page[order[:-1]])
+    order, group = order[new], group[new]
+    lo, hi = segments(group)
+    nth = np.arange(len(group)) - np.repeat(lo, hi - lo)
+    order = order[nth < MIN_PAGES]
+    keys = _runs(hashes[np.maximum(tokens, 0)], order, _host_key(host)) if len(order) else np.zeros(0, U64)
+    index = np.concatenate([page[order], first]).astype(np.int64)
+    return contents, index, np.concatenate([keys, np.full(len(first), every, U64)])
+
+
+def repeated(contents: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, key) of the keys that MIN_PAGES different contents hold, for every group that has told of them."""
+    order = np.lexsort((contents, keys))
+    contents, groups, keys = contents[order], groups[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (contents[1:] != contents[:-1])
+    lo, hi = segments(keys)
+    many = np.add.reduceat(new.astype(np.int64), lo) >= MIN_PAGES if len(lo) else np.zeros(0, bool)
+    keep = np.repeat(many, hi - lo)
+    pairs = np.unique(np.stack([groups[keep].astype(np.int64).view(U64), keys[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), U64)
+    return pairs[:, 0].view(np.int64), pairs[:, 1]
+
+
 def _long_runs(gone: np.ndarray) -> np.ndarray:
     """A block's covered tokens without the ends of runs that only reach into it: all of them, or stretches of RUN or more."""
     if gone.all():
@@ -268,37 +318,46 @@ def _long_runs(gone: np.ndarray) -> np.ndarray:
     return np.repeat(gone[lo] & (hi - lo >= RUN), hi - lo)
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """The main text of each of a host's pages."""
-    out, different = [], set()
-    for blocks in pages:
-        different.add(tuple(blocks))
-        if len(different) == MIN_PAGES:
-            break
-    for blocks, cover in zip(pages, covered_tokens([_stream(b) for b in pages]), strict=True):
-        best = OPEN if len(different) >= MIN_PAGES else max((z for z, _ in blocks), default=OPEN)
-        lines, at = [], 0
-        for zone, text in blocks:
+def main_text(blocks: list[tuple[int, str]], host: str, boilerplate: np.ndarray) -> str:
+    """The main text of a page; boilerplate: the sorted keys told for its group."""
+    holds = lambda keys: boilerplate[np.minimum(np.searchsorted(boilerplate, keys), len(boilerplate) - 1)] == keys if len(boilerplate) else np.zeros(len(keys), bool)
+    best = OPEN if holds(np.array([_host_key(host) ^ _PAGES])).all() else max((z for z, _ in blocks), default=OPEN)
+    tokens = stream_of(blocks)
+    cover = np.zeros(len(tokens), bool)
+    if len(tokens) >= RUN and len(boilerplate):
+        at = np.arange(len(tokens) - RUN + 1)
+        step = np.zeros(len(tokens) + 1, np.int64)
+        found = at[holds(_runs(np.array([_fingerprint(t) for t in tokens], U64), at, _host_key(host)))]
+        np.add.at(step, found, 1)
+        np.add.at(step, found + RUN, -1)
+        cover = np.cumsum(step[:-1]) > 0
+    lines, at = [], 0
+    for zone, text in blocks:
+        if zone != ARTICLE:
             n = text.count(" ") + 1
             gone = cover[at : at + n]
             at += n + 1
-            if zone < best:
-                continue
-            if zone != ARTICLE and gone.any():
+            if gone.any():
                 gone = _long_runs(gone)
                 text = " ".join(t for t, g in zip(text.split(" "), gone, strict=True) if not g)
-            if text:
-                lines.append(text)
-        out.append("\n".join(lines))
-    return out
+        if zone >= best and text:
+            lines.append(text)
+    return "\n".join(lines)
+
+
+def main_texts(pages: list[list[tuple[int, str]]], host: str = "", group: int = GROUP) -> list[str]:
+    """The main text of each of a host's pages: what extract_text does, in one process."""
+    told = [(contents[index], np.full(len(index), k), keys) for k in range(0, len(pages), group) for contents, index, keys in [passages(pages[k : k + group], host)]]
+    groups, keys = repeated(*(np.concatenate(x) for x in zip(*told, strict=True))) if told else (np.zeros(0, np.int64), np.zeros(0, U64))
+    return [main_text(blocks, host, np.sort(keys[groups == n - n % group])) for n, blocks in enumerate(pages)]
 
 
-_READ = [field("_host", T.StringType()), field("_zones", T.BinaryType()), field("_blocks", T.StringType())]
 RESULT = [field("text", T.StringType()), field("n_chars", T.LongType())]
+_GROUP_BITS = 32
 
 
-def _read_pages(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Adds the host and the blocks; drops the html."""
+def _read_pages(pages: DataFrame, url_col: str, html_col: str, names: list[str]) -> DataFrame:
+    """Adds the host, the blocks' zones and their texts; drops the html."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
@@ -313,45 +372,92 @@ def _read_pages(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
         return work
 
-    return with_columns(pages, _READ, make).drop(html_col)
+    kinds = (T.StringType(), T.BinaryType(), T.StringType())
+    return with_columns(pages, [field(n, k) for n, k in zip(names, kinds, strict=True)], make).drop(html_col)
+
+
+def _blocks(zones: list[bytes], texts: list[str]) -> list[list[tuple[int, str]]]:
+    return [list(zip(z, b.split("\n"), strict=True)) if z else [] for z, b in zip(zones, texts, strict=True)]
+
+
+def _tell(buckets: int, names: list[str]):
+    """Packed passages of each group of a partition sorted by group; names: columns of group, host, zones, blocks."""
+
+    def rows(group: int, host: str, zones: list[bytes], texts: list[str]) -> pa.RecordBatch:
+        contents, index, keys = passages(_blocks(zones, texts), host)
+        order = np.argsort(index, kind="stable")
+        pack = (contents, np.full(len(contents), group, np.uint32), index[order], keys[order], 0)
+        return pa.RecordBatch.from_pylist(list(pack_rows(pack, buckets, 8)), ROW_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, zones, texts = None, [], []
+        for batch in batches:
+            for group, host, z, t in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+                if now != (group, host):
+                    if now:
+                        yield rows(*now, zones, texts)
+                    now, zones, texts = (group, host), [], []
+                zones.append(z)
+                texts.append(t)
+        if now:
+            yield rows(*now, zones, texts)
+        give_back()
+
+    return run
+
+
+def _add_up(targets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Replies to every group about its passages that are boilerplate; a bucket holds a few entries of each group for a passage."""
+        bucket, held = None, []
+
+        def replies() -> Iterator[pa.RecordBatch]:
+            groups, keys = repeated(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if len(keys):
+                yield found_rows(groups, np.zeros(len(groups), np.uint32), keys, targets)
+
+        for now, _, contents, groups, keys in stream(batches, 8):
+            if now != bucket and held:
+                yield from replies()
+                held.clear()
+            bucket = now
+            held.append((contents, groups.astype(np.int64), keys))
+        if held:
+            yield from replies()
+
+    return run
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages without html, with the main text and its number of characters."""
     n = partitions(pages.sparkSession)
-    read = _read_pages(pages.withColumn(url_col, F.col(url_col).cast("string")), url_col, html_col)
-    hosts = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    large = cut(pages.groupBy(hosts.alias("_h")).count().where(F.col("count") > HOST_PAGES))
+    host, zones, blocks, group, codes, to, large_host, count = unused(pages, "_host", "_zones", "_blocks", "_group", "_codes", "_to", "_large", "_count")
+    pages = pages.withColumn(url_col, F.col(url_col).cast("string"))
+    hosts = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+    large = cut(pages.groupBy(hosts.alias(large_host)).agg(F.count("*").alias(count)).where(F.col(count) > GROUP))
     # A row for each large host; broadcast only if counted to be few, else a shuffled join.
     few = large.count() <= BROADCAST_HOSTS
-    dealt = read.join(F.broadcast(large) if few else large, F.lower("_host") == F.col("_h"), "left")
-    slot = F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.ceil(F.col("count") / HOST_PAGES)), F.lit(0))
-    dealt = dealt.withColumn("_slot", slot).drop("_h", "count")
-    kept = [f for f in dealt.schema.fields if f.name not in ("_host", "_slot", "_zones", "_blocks", "text", "n_chars")]
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+    read = _read_pages(pages, url_col, html_col, [host, zones, blocks])
+    known = read.join(F.broadcast(large) if few else large, F.lower(host) == F.col(large_host), "left")
+    # Equal rows of different input partitions go to different groups.
+    slots = F.ceil(F.col(count) / GROUP)
+    slot = F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)) + F.spark_partition_id(), slots), F.lit(0))
+    dealt = known.withColumn(group, F.pmod(F.xxhash64(F.col(host), slot), F.lit(1 << _GROUP_BITS))).drop(large_host, count).repartition(n, group)
+    # Both branches read one exchange of the pages, so the first takes all columns too.
+    told = dealt.sortWithinPartitions(group, host).mapInArrow(_tell(n, [group, host, zones, blocks]), ROW).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
+    replies = gathered(told.mapInArrow(_add_up(n), FOUND)).select(F.col("id").alias(to), F.col("codes").alias(codes))
+    marked = dealt.join(replies.hint("shuffle_hash"), F.col(group) == F.col(to), "left")
 
-        def texts() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            pages = [list(zip(z, b.split("\n"), strict=True)) if z else [] for z, b in zip(t.column("_zones").to_pylist(), t.column("_blocks").to_pylist(), strict=True)]
-            found = main_texts(pages)
-            own = [t.column(c).combine_chunks() for c in names]
-            return pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=[*names, "text", "n_chars"])
+    def make():
+        def work(batch: pa.RecordBatch) -> list:
+            get = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
+            texts, raw, keys = [], None, np.zeros(0, U64)
+            for name, page, now in zip(get(host), _blocks(get(zones), get(blocks)), get(codes), strict=True):
+                if now != raw:
+                    raw, keys = now, np.sort(np.frombuffer(now or b"", U64))
+                texts.append(main_text(page, name, keys))
+            return [texts, [len(t) for t in texts]]
 
-        for batch in batches:
-            keys = list(zip(batch.column(batch.schema.get_field_index("_host")).to_pylist(), batch.column(batch.schema.get_field_index("_slot")).to_pylist(), strict=True))
-            start = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[start]:
-                    if held and now != keys[start]:
-                        yield texts()
-                        held = []
-                    now = keys[start]
-                    held.append(batch.slice(start, k - start))
-                    start = k
-        if held:
-            yield texts()
+        return work
 
-    return dealt.repartition(n, "_host", "_slot").sortWithinPartitions("_host", "_slot").mapInArrow(run, T.StructType([*kept, *RESULT]))
+    return with_columns(marked, RESULT, make).drop(host, zones, blocks, group, codes, to)

@@ -4,7 +4,7 @@ import html as entities
 import re
 
 import numpy as np
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -112,8 +112,62 @@ def test_rows(spark):
     assert htmltext.extract_text(df.limit(0)).count() == 0
 
 
-def test_large_hosts_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(htmltext, "HOST_PAGES", 20)
-    rows = [(k, "http://big/x", f"<p>Boilerplate of this host in eight words here</p><p>own{k} text{k}</p>") for k in range(100)]
+def test_large_hosts_are_judged_whole(spark, monkeypatch):
+    line = "Boilerplate of this host in exactly eight words"
+    rows = [(k, "http://big/x", f"<p>own{k} text{k}</p>" + (f"<div>{line}</div>" if k % 10 == 0 else "")) for k in range(100)]
+    for size in (200, 20, 1):
+        monkeypatch.setattr(htmltext, "GROUP", size)
+        got = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {k: f"own{k} text{k}" for k in range(100)}
+
+
+def plain_texts(pages):
+    """All passages of all pages, counted one by one."""
+    streams = [htmltext.stream_of(p) for p in pages]
+    on = {}
+    for p, s in zip(pages, streams, strict=True):
+        for i in range(len(s) - htmltext.RUN + 1):
+            on.setdefault(tuple(s[i : i + htmltext.RUN]), set()).add(str(p))
+    few = len({str(p) for p in pages}) < htmltext.MIN_PAGES
+    out = []
+    for p, s in zip(pages, streams, strict=True):
+        gone = {j for i in range(len(s) - htmltext.RUN + 1) if len(on[tuple(s[i : i + htmltext.RUN])]) >= htmltext.MIN_PAGES for j in range(i, i + htmltext.RUN)}
+        best, lines, at = max((z for z, _ in p), default=0) if few else 0, [], 0
+        for zone, text in p:
+            words = text.split(" ")
+            if zone != htmltext.ARTICLE:
+                own = [at + k in gone for k in range(len(words))]
+                at += len(words) + 1
+                if not all(own):  # a covered stretch shorter than RUN only reaches into the block
+                    for k in range(len(own)):
+                        if own[k] and (k == 0 or not own[k - 1]):
+                            end = next((e for e in range(k, len(own)) if not own[e]), len(own))
+                            if end - k < htmltext.RUN:
+                                own[k:end] = [None] * (end - k)
+                words = [w for w, g in zip(words, own, strict=True) if not g]
+            if zone >= best and words:
+                lines.append(" ".join(words))
+        out.append("\n".join(lines))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 3), st.text("ab", min_size=1, max_size=1).flatmap(lambda c: st.integers(1, 12).map(lambda n: " ".join((c * n)[:n])))), max_size=4), max_size=7))
+def test_suffix_arrays_of_groups_find_what_counting_finds(pages):
+    want = plain_texts(pages)
+    assert htmltext.main_texts(pages) == want and htmltext.main_texts(pages, group=2) == want
+
+
+def test_pages_without_an_article(spark):
+    """Main text comes through the suffix array alone: pages whose menus and notes have no telling markup."""
+    top, foot = "Latest stories from the region and the world every day", "Terms of use and privacy of this paper apply to all"
+    rows = [(k, f"http://h{k % 2}.example/{k}", f"<body><div>{top}</div><div><p>Story {k} tells of w{k}a w{k}b</p><p>and of x{k}a x{k}b</p></div><div>{foot}</div></body>") for k in range(20)]
     got = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {k: f"own{k} text{k}" for k in range(100)}
+    assert got == {k: f"Story {k} tells of w{k}a w{k}b\nand of x{k}a x{k}b" for k in range(20)}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a/x", "<p>q</p>")], "page_id long, url string, html string")
+    for name in ("count", "_h", "_host", "_zones", "_blocks", "_group", "_codes", "_to", "_large", "_count", "id", "codes"):
+        (row,) = htmltext.extract_text(df.withColumn(name, F.lit(7))).collect()
+        assert row.text == "q" and row[name] == 7
