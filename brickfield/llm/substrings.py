@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import field, with_columns
+from .columns import field, unused, with_columns
 from .packed import FOUND, Pack, Seen, Smallest, code, found_rows, gathered, scatter, stream
 from .runtime import partitions
 from .wordscan import NOT_SPACE, U64, Words, mix, scan, text_slices
@@ -45,6 +45,15 @@ RESULT = [
 ]
 
 
+def _once(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's keys without repetition: a word or passage repeated within a document travels once."""
+    order = np.lexsort((keys, doc))
+    doc, keys = doc[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], keys[new]
+
+
 def _anchor_packs(t: pa.Table) -> Iterator[Pack]:
     """The blocks (kind 0) and rolling windows (kind 1) of documents long enough to hold a repeat."""
     ids = t.column("id").to_numpy()
@@ -55,6 +64,7 @@ def _anchor_packs(t: pa.Table) -> Iterator[Pack]:
         long = w.counts[doc] >= WINDOW
         key, at, doc = key[long], at[long], doc[long]
         blocks.append(key[(at - w.first[doc]) % BLOCK == 0])
+        doc, key = _once(doc, key)
         docs.append(doc + i)
         keys.append(key)
     if not keys:
@@ -107,20 +117,21 @@ def _spread(w: Words, at: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _window_packs(buckets: int, text_col: str):
+def _window_packs(buckets: int, text_col: str, id_col: str, codes_col: str):
     def packs(t: pa.Table) -> Iterator[Pack]:
         """The windows around each document's anchors."""
-        t = t.filter(pc.is_valid(t.column("_codes")))
-        ids = t.column("_id").to_numpy()
+        t = t.filter(pc.is_valid(t.column(codes_col)))
+        ids = t.column(id_col).to_numpy()
         docs, keys = [], []
         for i, j, data, offs in text_slices(t.column(text_col)):
             w = scan(data, offs, NOT_SPACE)
             key, at, doc = w.grams(BLOCK)
-            anchor = _listed(doc, code(key, buckets, _PROBE_WIDTH), *_of_documents(t.column("_codes"), i, j))
+            anchor = _listed(doc, code(key, buckets, _PROBE_WIDTH), *_of_documents(t.column(codes_col), i, j))
             near = _spread(w, at[anchor], WINDOW - BLOCK, 1)
             key, at, doc = w.grams(WINDOW)
-            docs.append(doc[near[at]] + i)
-            keys.append(key[near[at]])
+            doc, key = _once(doc[near[at]], key[near[at]])
+            docs.append(doc + i)
+            keys.append(key)
         if keys:
             yield ids, np.zeros(len(ids), np.uint32), np.concatenate(docs), np.concatenate(keys), 0
 
@@ -160,14 +171,15 @@ def _kept(w: Words, kept: np.ndarray) -> list[bytes]:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """docs with word counts, the kept words' digest, and the kept words joined by spaces (null if not asked for)."""
     n = partitions(docs.sparkSession)
+    id_, of, codes = unused(docs, "_id", "_of", "_codes")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     hits = gathered(scatter(own, _anchor_packs, _PROBE_WIDTH).mapInArrow(lambda it: _shared_anchors(it, n), FOUND))
     # Both joins read one exchange of the documents: outer joins, as an inner one would put a filter below it,
     # and with all columns, as the second join needs them.
-    placed = docs.drop("_codes").withColumn("_id", F.col(id_col).cast("long")).repartition(n, "_id")
-    with_codes = lambda found: placed.join(found.select(F.col("id").alias("_of"), F.col("codes").alias("_codes")).hint("shuffle_hash"), F.col("_id") == F.col("_of"), "left")
-    repeats = gathered(scatter(with_codes(hits), _window_packs(n, text_col), 8).mapInArrow(lambda it: _repeats(it, n), FOUND))
-    marked = with_codes(repeats).drop("_id", "_of")
+    placed = docs.withColumn(id_, F.col(id_col).cast("long")).repartition(n, id_)
+    with_codes = lambda found: placed.join(found.select(F.col("id").alias(of), F.col("codes").alias(codes)).hint("shuffle_hash"), F.col(id_) == F.col(of), "left")
+    repeats = gathered(scatter(with_codes(hits), _window_packs(n, text_col, id_, codes), 8).mapInArrow(lambda it: _repeats(it, n), FOUND))
+    marked = with_codes(repeats).drop(id_, of)
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
@@ -176,7 +188,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i, j, data, offs in text_slices(get(text_col)):
                 w = scan(data, offs, NOT_SPACE)
                 key, at, doc = w.grams(WINDOW)
-                gone = _spread(w, at[_listed(doc, key, *_of_documents(get("_codes"), i, j))], 0, WINDOW)
+                gone = _spread(w, at[_listed(doc, key, *_of_documents(get(codes), i, j))], 0, WINDOW)
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
                 for row in zip(w.counts.tolist(), removed.tolist(), _kept(w, ~gone), strict=True):
                     values = (*row[:2], hashlib.sha256(row[2]).hexdigest(), row[2].decode() if with_text else None)
@@ -186,4 +198,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return work
 
-    return with_columns(marked, RESULT, make).drop("_codes")
+    return with_columns(marked, RESULT, make).drop(codes)

@@ -72,3 +72,19 @@ def test_streamed_states(chunks):
 def test_key_bytes(keys, width):
     a = np.array(keys, np.uint64)
     assert packed.decode(packed.encode(a, width), width).tolist() == [k % 256**width for k in keys]
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " b")], "doc_id long, text string")
+    for name in ("_id", "_of", "_codes", "id", "codes", "size", "bucket"):
+        got = substrings.dedup_substrings(df.withColumn(name, F.lit("own"))).collect()
+        assert {(r.doc_id, r.n_removed, r[name]) for r in got} == {(1, 0, "own"), (2, 60, "own")}
+
+
+def test_repeated_words_travel_once():
+    import pyarrow as pa
+
+    t = pa.table({"id": [1], "text": ["x " * 100_000]})
+    (_, _, _, blocks, _), (_, _, docs, keys, _) = substrings._anchor_packs(t)
+    assert len(blocks) == len(keys) == len(docs) == 1
