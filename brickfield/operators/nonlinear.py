@@ -8,7 +8,7 @@ displacement. Then neighbours are averaged. The field so far is staged by checkp
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,10 @@ class Options:
     sub_nodes: int = 5
     diameter: float = 24.0
     threshold: float = 0.0
+    #: How far candidate shifts reach, in node distances, at first; each iteration's reach is `narrowing` of the one before, not under `finest`.
+    reach: float = 1.0
+    narrowing: float = 0.75
+    finest: float = 0.2
 
 
 OBJECTIVE_NAMES = ("xcorr", "diff", "sqdiff", "label", "chamfer", "corrcoeff", "opticalflow")
@@ -73,7 +77,7 @@ def _settle(df: DataFrame) -> DataFrame:
 
 
 def node_shifts(field: DataFrame, g: Geometry, source: DataFrame, source_g: Geometry, target: DataFrame, target_g: Geometry, o: Options) -> DataFrame:
-    """du, dv, dw (in nodes) for every node where a quadratic through 27 shifted similarities has a maximum; null elsewhere."""
+    """du, dv, dw (in shifts, of o.reach nodes) for every node where a quadratic through 27 shifted similarities has a maximum; null elsewhere."""
     raster = (F.col("i").cast("long") * g.size[1] + F.col("j")) * g.size[2] + F.col("k")
     world = affine(g.to_world(), *AXES)
     nodes = field.select(raster.alias("node"), *AXES, *DISPLACEMENT, *(w.alias(c) for w, c in zip(world, XYZ, strict=True)))
@@ -83,7 +87,7 @@ def node_shifts(field: DataFrame, g: Geometry, source: DataFrame, source_g: Geom
     live = near.withColumns(dict(zip(XYZ, affine(back, *XYZ), strict=True)))
     shifts = F.array(*(F.struct(F.lit(n).alias("n"), *(F.lit(float(d)).alias(f"s{c}") for d, c in zip(s, XYZ, strict=True))) for n, s in enumerate(itertools.product((-1, 0, 1), repeat=3))))
     each = live.withColumn("_s", F.explode(shifts))
-    moved = each.select("node", F.col("_s.n").alias("n"), "v1", (F.col("pid") * 27 + F.col("_s.n")).alias("pid"), *((F.col(c) + F.col(d) + F.col(f"_s.s{c}") * abs(s)).alias(c) for c, d, s in zip(XYZ, DISPLACEMENT, g.step, strict=True)))
+    moved = each.select("node", F.col("_s.n").alias("n"), "v1", (F.col("pid") * 27 + F.col("_s.n")).alias("pid"), *((F.col(c) + F.col(d) + F.col(f"_s.s{c}") * abs(s) * o.reach).alias(c) for c, d, s in zip(XYZ, DISPLACEMENT, g.step, strict=True)))
     both = trilinear(transformed(moved, target_g.to_voxel()), target, target_g.size, "v2").where("v2 is not null")
     sim = both.groupBy("node", "n").agg(measures.LOCAL[objective_option(o.objective)](F.col("v1"), F.col("v2")).alias("s"))
     wide = sim.groupBy("node").agg(*(F.max(F.when(F.col("n") == n, F.col("s"))).alias(f"q{n}") for n in range(27)))
@@ -102,7 +106,7 @@ def iterate(field: DataFrame, g: Geometry, shifts: DataFrame, o: Options) -> Dat
     """The field after one iteration: weighted additions where estimated, extrapolation elsewhere, smoothing."""
     parts = dict(zip(DISPLACEMENT, zip(("du", "dv", "dw"), g.step, strict=True), strict=True))
     extra = field.select("vol", *AXES).join(shifts, list(AXES), "left")
-    extra = extra.select("vol", *AXES, *(F.coalesce(F.col(n) * abs(s), F.lit(0.0)).alias(c) for c, (n, s) in parts.items()), F.col("du").isNotNull().alias("estimated"))
+    extra = extra.select("vol", *AXES, *(F.coalesce(F.col(n) * abs(s) * o.reach, F.lit(0.0)).alias(c) for c, (n, s) in parts.items()), F.col("du").isNotNull().alias("estimated"))
     filled = extrapolate(extra).select("vol", *AXES, *(F.col(c).alias(f"_{c}") for c in DISPLACEMENT))
     added = field.join(filled, ["vol", *AXES])
     limit = F.sqrt(sum((F.col(c) + o.weight * F.col(f"_{c}")) ** 2 for c in DISPLACEMENT)) <= o.longest
@@ -117,8 +121,9 @@ def nonlinear_fit(source: DataFrame, source_g: Geometry, target: DataFrame, targ
     extent = np.abs(np.asarray(source_g.step)) * (np.asarray(source_g.size) - 1)
     g = Geometry(tuple(int(x) + 1 for x in extent // node_step), (node_step,) * 3, tuple(low))
     field = start if start is not None else grid(source.sparkSession, g.size).select(F.lit("field").alias("vol"), *AXES, *(F.lit(0.0).alias(c) for c in DISPLACEMENT))
-    for _ in range(o.iterations):
-        field = _settle(iterate(field, g, node_shifts(field, g, source, source_g, target, target_g, o), o))
+    for k in range(o.iterations):
+        now = replace(o, reach=max(o.finest, o.reach * o.narrowing**k))
+        field = _settle(iterate(field, g, node_shifts(field, g, source, source_g, target, target_g, now), now))
     return field, g
 
 
