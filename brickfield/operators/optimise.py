@@ -358,8 +358,8 @@ def principal_axis_start(source: DataFrame, source_g: Geometry, target: DataFram
     return Parameters(center=c1, translations=c2 - c1, rotations=np.array(turn if turn else (0, 0, 0)))
 
 
-def linear_fit(source: DataFrame, source_g: Geometry, target: DataFrame, target_g: Geometry, kind: str = "lsq6", objective: str = "xcorr", start: Parameters | None = None, step=(4.0, 4.0, 4.0), simplex: float = 20.0, tolerance: float = 0.005, thresholds=(0.0, 0.0), optimiser: str = "simplex", quaternions: bool = False, mask: DataFrame | None = None, target_mask: DataFrame | None = None, local: bool | None = None) -> Parameters:
-    """The parameters of the transform from source to target that make the objective least."""
+def linear_fit(source: DataFrame, source_g: Geometry, target: DataFrame, target_g: Geometry, kind: str = "lsq6", objective: str = "xcorr", start: Parameters | None = None, step=(4.0, 4.0, 4.0), simplex: float = 20.0, tolerance: float = 0.005, thresholds=(0.0, 0.0), optimiser: str = "simplex", quaternions: bool = False, mask: DataFrame | None = None, target_mask: DataFrame | None = None, local: bool | None = None, most: int = 400) -> Parameters:
+    """The parameters of the transform from source to target that make the objective least; most: evaluations that the simplex may use."""
     p = start or Parameters(center=moments(source, source_g)[0])
     if quaternions and p.quaternion is None:
         from ..functions.transforms import matrix_quaternion, rotation
@@ -375,7 +375,7 @@ def linear_fit(source: DataFrame, source_g: Geometry, target: DataFrame, target_
 
     first = pack(p, FREE[kind])
     try:
-        return unpack(p, lbfgs(first, values) if optimiser == "bfgs" else Simplex(first, simplex, values, tolerance).run(), kind)
+        return unpack(p, lbfgs(first, values) if optimiser == "bfgs" else Simplex(first, simplex, values, tolerance, most).run(), kind)
     finally:
         evaluate.close()
 

@@ -83,6 +83,16 @@ def trilinear(points: DataFrame, voxels: DataFrame, size, out: str = "sample", b
     return near.join(inner, ["pid", *by], "left").withColumn(out, F.coalesce("_inner", "_near")).drop("_inner", "_near")
 
 
+def trilinear_columns(points: DataFrame, voxels: DataFrame, size, columns: tuple[str, ...]) -> DataFrame:
+    """points with the trilinear values of several columns of the voxels, in one gather; the nearest voxel's outside the inner box."""
+    at = voxels.select(*(F.col(a).alias(f"_{a}") for a in AXES), *(F.col(c).alias(f"_v{c}") for c in columns))
+    keys = ["_i", "_j", "_k"]
+    met = corners(points.where(inside_linear(size)).select("pid", *XYZ), 0, 1, _linear_weight).join(at, keys)
+    inner = met.groupBy("pid").agg(*(F.sum(F.col("_w") * F.col(f"_v{c}")).alias(f"_s{c}") for c in columns))
+    near = points.withColumns({f"_{a}": F.when(inside_nearest(size), rounded(F.col(c))) for a, c in zip(AXES, XYZ, strict=True)}).join(at, keys, "left")
+    return near.join(inner, "pid", "left").withColumns({c: F.coalesce(f"_s{c}", f"_v{c}") for c in columns}).drop(*keys, *(f"_{n}{c}" for n in "sv" for c in columns))
+
+
 def tricubic(points: DataFrame, voxels: DataFrame, size, out: str = "sample", by: tuple[str, ...] = ()) -> DataFrame:
     """Catmull-Rom over 64 voxels; trilinear near the edge, nearest at it."""
     inner = _gather(points.where(inside_cubic(size)), voxels, -1, 2, _cubic_weight, "_cubic", by)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import affine_inverse
 from ..functions.transforms import procrustes_moments
 from ..model import AXES, Geometry, affine, grid, rounded
-from .sample import XYZ, evaluate
+from .sample import XYZ, evaluate, trilinear_columns
 
 DISPLACEMENT = ("dx", "dy", "dz")
 
@@ -55,8 +55,11 @@ def split_last_warp(xfm: DataFrame) -> tuple[DataFrame, DataFrame]:
 def displacement_at(points: DataFrame, field: DataFrame, g: Geometry, degree: int = 0) -> DataFrame:
     """points (world) with dx, dy, dz of a grid; 0 outside."""
     voxel = points.withColumns({f"_p{c}": F.col(c) for c in XYZ}).withColumns(dict(zip(XYZ, affine(g.to_voxel(), *XYZ), strict=True)))
-    for d in DISPLACEMENT:
-        voxel = evaluate(voxel, field.select(*AXES, F.col(d).alias("value")), g.size, degree, d)
+    if degree == 0:
+        voxel = trilinear_columns(voxel, field, g.size, DISPLACEMENT)
+    else:
+        for d in DISPLACEMENT:
+            voxel = evaluate(voxel, field.select(*AXES, F.col(d).alias("value")), g.size, degree, d)
     return voxel.withColumns({d: F.coalesce(d, F.lit(0.0)) for d in DISPLACEMENT}).withColumns({c: F.col(f"_p{c}") for c in XYZ}).drop(*(f"_p{c}" for c in XYZ))
 
 

@@ -56,7 +56,7 @@ def _closeness(spark, found, ideal, linear=0.05, shift=0.5):
 def _fit(kind):
     def f(spark, sf_dir):
         one, two = blobs(spark, sf_dir), _moved(spark, sf_dir, IDEAL[kind])
-        p = optimise.linear_fit(one, G20, two, G20, kind, start=tr.Parameters(center=np.zeros(3)), step=(6.0,) * 3, simplex=4.0 if kind == "lsq12" else 10.0, tolerance=1e-5)
+        p = optimise.linear_fit(one, G20, two, G20, kind, start=tr.Parameters(center=np.zeros(3)), step=(6.0,) * 3, simplex=10.0, tolerance=1e-6, most=3000 if kind == "lsq12" else 400)
         return _closeness(spark, p.matrix(), IDEAL[kind])
 
     f.__name__ = f"linear_fit_{kind}"
