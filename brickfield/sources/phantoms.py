@@ -85,14 +85,19 @@ def randomised(voxels: DataFrame, std: float, seed: int = 0) -> DataFrame:
     return voxels.withColumn("value", F.least(F.greatest(F.randn(seed) * std, F.lit(-5.0 * std)), F.lit(5.0 * std)))
 
 
+def _stream(seed: int, n: int) -> int:
+    """A seed far from those of other streams: a generator adds the partition's number to its seed, so seeds side by side would share numbers."""
+    return (seed * 0x9E3779B97F4A7C15 + (n + 1) * 0xD1B54A32D192ED03) % (1 << 62)
+
+
 def random_deformation(spark: SparkSession, size, std: float, seed: int = 0, vol: str = "random") -> DataFrame:
-    return grid(spark, size).select(F.lit(vol).alias("vol"), *AXES, *((F.randn(seed + n) * std).alias(c) for n, c in enumerate(("dx", "dy", "dz"))))
+    return grid(spark, size).select(F.lit(vol).alias("vol"), *AXES, *((F.randn(_stream(seed, n)) * std).alias(c) for n, c in enumerate(("dx", "dy", "dz"))))
 
 
 def random_tags(tags: DataFrame, std: float, seed: int = 0) -> DataFrame:
     """Noise on the second point of every pair."""
     for n, c in enumerate(("x2", "y2", "z2")):
-        tags = tags.withColumn(c, F.col(c) + F.randn(seed + n) * std)
+        tags = tags.withColumn(c, F.col(c) + F.randn(_stream(seed, n)) * std)
     return tags
 
 
