@@ -40,7 +40,7 @@ def let_go() -> None:
         _held.clear()
 
 
-def _load_ranks(path: str):
+def load_ranks(path: str):
     import tiktoken
 
     with open(path, "rb") as f:
@@ -50,7 +50,7 @@ def _load_ranks(path: str):
 
 def ranks_encoding(path: str):
     """A tiktoken encoding from a file of base64 tokens and ranks, and the ranks."""
-    return hold(("ranks", path), lambda: _load_ranks(path))
+    return hold(("ranks", path), lambda: load_ranks(path))
 
 
 def json_tokenizer(path: str):
