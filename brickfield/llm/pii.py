@@ -117,13 +117,13 @@ _BOXED_AT = re.compile(rf"\s?{_OPEN}\s?{_AT_WORD}\s?{_SHUT}\s?|(?<=\w)\s?[_*]at[
 _BOXED_DOT = re.compile(rf"\s?{_OPEN}\s?{_DOT_WORD}\s?{_SHUT}\s?|(?<=\w)\s?[_*]dot[_*]\s?(?=\w)|(?<=\w)\s?&#(?:46|x2e);\s?(?=\w)", re.I)
 _BARE = re.compile(r"(?<![\w.%+-])(?:[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+| (?:dot|punkt|punto|point) [A-Za-z0-9_%+-]+)*)( ?@ ?| at | arroba )[A-Za-z0-9-]+((?:(?: (?:dot|punkt|punto|point) |\.| \. )[A-Za-z0-9-]+)+)(?![\w-])", re.I)
 _BARE_DOT = re.compile(r" (?:dot|punkt|punto|point) | \. ", re.I)
-_IP_WORDS = re.compile(r"(?<![\w.])\d{1,3}(?: ?(?:dot|punkt|punto|point|\.) ?\d{1,3}){3}(?![\w.]*\d)", re.I)
+_IP_WORDS = re.compile(r"(?<![\w.])\d{1,3}(?:(?: ?(?:dot|punkt|punto|point) ?| \. |\.)\d{1,3}){3}(?![\w.]*\d)", re.I)
+_BETWEEN_OCTETS = re.compile(r"(?<=\d)(?: ?(?:dot|punkt|punto|point) ?| \. |\.)(?=\d)", re.I)
 #: Four octets of one to three digits, by name or as figures, with dots between them by name, in brackets or as they are.
 _OCTET, _OCTET_DOT = rf"(?:{_NAME}|\d)(?:[ -]?(?:{_NAME}|\d)(?!\w)|\d){{0,2}}(?!\w)", rf"(?: (?:dot|punkt|punto|point) | ?{_OPEN} ?{_DOT_WORD} ?{_SHUT} ?| ?\. ?)"
 _SPELLED_IP = re.compile(rf"(?<![\w.]){_OCTET}(?:{_OCTET_DOT}{_OCTET}){{3}}(?!\.?\w)", re.I)
 _SPELLED_OCTET = re.compile(_OCTET, re.I)
 _BOX_HINT = re.compile(r"[\[({<_*]\s?(?:[aAcC][tTrRhH]|ä|Ä|@|[dDpP][oO0uU]|\.)")
-_DOT_NAMES = ("dot", "punkt", "punto", "point")
 #: Names that are no articles; a spelled run needs two of them.
 _NAMES = frozenset(_DIGITS) - {"un", "une", "ein", "uno"}
 
@@ -187,13 +187,18 @@ class Rewriter:
         return any(self.changed[self._piece(a) : self._piece(b - 1) + 1])
 
 
+def _plain(text: str) -> str:
+    """Lower case as the patterns see it: they take the long s for an s."""
+    return text.lower().replace("\u017f", "s")
+
+
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
         names = list(_ONE_NAME.finditer(text, m.start(), m.end()))
         digits = len(names) + sum(c.isdigit() for c in m[0])
-        if digits >= 4 and sum(n[0].lower() in _NAMES for n in names) >= 2:
-            edits += [(n.start(), n.end(), _DIGITS[n[0].lower()]) for n in names]
+        if digits >= 4 and sum(_plain(n[0]) in _NAMES for n in names) >= 2:
+            edits += [(n.start(), n.end(), _DIGITS[_plain(n[0])]) for n in names]
     return edits
 
 
@@ -201,10 +206,10 @@ def _octet_edits(text: str) -> list[tuple[int, int, str]]:
     """Octets of spelled addresses become figures; the dots between them are left to the dot rewriting."""
     edits = []
     for m in _SPELLED_IP.finditer(text):
-        if not any(n[0].lower() in _NAMES for n in _ONE_NAME.finditer(m[0])):
+        if not any(_plain(n[0]) in _NAMES for n in _ONE_NAME.finditer(m[0])):
             continue
         for o in _SPELLED_OCTET.finditer(text, m.start(), m.end()):
-            written = _ONE_NAME.sub(lambda n: _DIGITS[n[0].lower()], o[0]).replace(" ", "").replace("-", "")
+            written = _ONE_NAME.sub(lambda n: _DIGITS[_plain(n[0])], o[0]).replace(" ", "").replace("-", "")
             if written != o[0]:
                 edits.append((o.start(), o.end(), written))
     return edits
@@ -227,8 +232,7 @@ def _bare_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _ip_edits(text: str) -> list[tuple[int, int, str]]:
-    between = re.compile(r"(?<=\d) ?(?:dot|punkt|punto|point|\.) ?(?=\d)", re.I)
-    return [(d.start(), d.end(), ".") for m in _IP_WORDS.finditer(text) for d in between.finditer(text, m.start(), m.end()) if d[0] != "."]
+    return [(d.start(), d.end(), ".") for m in _IP_WORDS.finditer(text) for d in _BETWEEN_OCTETS.finditer(text, m.start(), m.end()) if d[0] != "."]
 
 
 def _has_lookalike(text: str) -> bool:
@@ -241,17 +245,15 @@ def _has_lookalike(text: str) -> bool:
     return "\xa0" in text or "\xad" in text
 
 
-def _may_spell(lowered: str) -> bool:
-    for c in ",.()-[]{}<>":
-        lowered = lowered.replace(c, " ")
-    return not _NAMES.isdisjoint(lowered.split())
+#: What each transducer can't do without; the searches skip texts where it would find nothing, and no others.
+_ANY_WORD = re.compile(r"\w+")
+_SPACED_DOT = re.compile(r"\d \. \d")
+_DOT_NAME = re.compile("dot|punkt|punto|point", re.I)
 
 
-def _may_hide(text: str, lowered: str) -> bool:
-    """Whether the at, dot and ip rewriting can find anything."""
-    if " @" in text or "@ " in text or "&#" in text or _BOX_HINT.search(text):
-        return True
-    return any(name in lowered for name in _DOT_NAMES) and (" at " in lowered or " arroba " in lowered or any(c.isdigit() for c in text))
+def _spells(text: str) -> bool:
+    """Whether a digit's name that is no article stands in the text as a word."""
+    return not _NAMES.isdisjoint(_ANY_WORD.findall(_plain(text)))
 
 
 def normalise(text: str) -> Rewriter:
@@ -259,17 +261,18 @@ def normalise(text: str) -> Rewriter:
     r = Rewriter(text)
     if _has_lookalike(text):
         r.apply([(m.start(), m.end(), _HOMOGLYPHS[m[0]]) for m in _HOMOGLYPH.finditer(text)])
-    lowered, octets = r.text.lower(), []
-    if _may_spell(lowered):
-        octets = _octet_edits(r.text)
-        r.apply(octets)
+    if _spells(r.text):
+        r.apply(_octet_edits(r.text))
         r.apply(_spelled_edits(r.text))
-    if "plus " in lowered:
+    if "plus " in r.text.lower():
         r.apply([(m.start(), m.end(), "+") for m in _PLUS.finditer(r.text)])
-    if octets or _may_hide(r.text, lowered):
+    if "&#" in r.text or _BOX_HINT.search(r.text):
         r.apply([(m.start(), m.end(), "@") for m in _BOXED_AT.finditer(r.text)])
         r.apply([(m.start(), m.end(), ".") for m in _BOXED_DOT.finditer(r.text)])
+    named, lowered = _DOT_NAME.search(r.text) is not None, r.text.lower()
+    if "@" in lowered and (named or " @" in lowered or "@ " in lowered or " . " in lowered) or named and (" at " in lowered or " arroba " in lowered):
         r.apply(_bare_edits(r.text))
+    if named or _SPACED_DOT.search(r.text):
         r.apply(_ip_edits(r.text))
     return r
 
@@ -306,12 +309,13 @@ def digest(spans: list[Span]) -> str:
 RESULT = [field(f"n_{k}", T.LongType()) for k in KINDS] + [
     field("base_sha256", T.StringType()),
     field("spans", T.StringType()),
+    field("n_spans", T.LongType()),
     field("redacted", T.StringType()),
 ]
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", with_redacted: bool = True) -> DataFrame:
-    """docs with counts of base spans by kind, their digest, all spans, and the text without them (null if not asked for)."""
+    """docs with counts of base spans by kind, their digest, all spans and their number, and the text without them (null if not asked for)."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
@@ -320,7 +324,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", with_redacted: bool = True
                 text = value.as_py() or ""
                 base, spans = find_private(text)
                 row = [sum(s[0] == k for s in base) for k in KINDS]
-                row += [hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), redact(text, spans) if with_redacted else None]
+                row += [hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), len(spans), redact(text, spans) if with_redacted else None]
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
             return out
