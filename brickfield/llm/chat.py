@@ -1,12 +1,12 @@
 r"""Chat formatting with a grammar round trip.
 
-A turn is rendered as <|im_start|>ROLE newline TEXT <|im_end|> newline. The parser is
-deterministic: it reads the opening mark, the role up to the newline, the text up to the first
-closing mark, and takes one backslash out of every `<\|`, `<\\|`, ... A turn is rendered as it
-is first and parsed again; if the turns recovered differ from the source, its text and role
-are escaped (one backslash put into every `<|`, `<\|`, ...; backslash and newline of a role
-become two characters) until the round trip is identical. So control strings inside a text
-never act as marks, and every text comes back unchanged.
+A turn is rendered as <|im_start|>ROLE newline TEXT <|im_end|> newline. `<|` opens a control string, whatever follows it,
+and is the template's alone: no text or role may hold it as it is. The parser is deterministic: it reads the opening mark, the
+role up to the newline, the text up to the first closing mark, refuses any other `<|`, and takes one backslash
+out of every `<\|`, `<\\|`, ... A turn is rendered as it is first and parsed again; if that fails, or the turn recovered
+differs from the source, its text and then its role are escaped (one backslash put into every `<|`, `<\|`, ...;
+backslash and newline of a role become two characters) until the round trip is identical. So no rendering holds
+a control string that the template didn't put there, and every text comes back unchanged.
 
 Rendering is per turn, so a conversation of any length needs no more memory than one turn.
 Digests of a conversation are taken by streaming its turns, sorted, through the parser.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .columns import field, with_columns
 from .runtime import partitions
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+OPEN, CLOSE, CONTROL = "<|im_start|>", "<|im_end|>", "<|"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE_OUT = {"\\": "\\\\", "\n": "\\n"}
 
@@ -65,18 +65,20 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
         if line < 0:
             raise GrammarError("no end of role")
         role = rendered[at + len(OPEN) : line]
-        if OPEN in role or CLOSE in role:
-            raise GrammarError("a mark inside a role")
+        if CONTROL in role:
+            raise GrammarError("a control string inside a role")
         close = rendered.find(CLOSE, line + 1)
         if close < 0 or not rendered.startswith("\n", close + len(CLOSE)):
             raise GrammarError("no closing mark")
+        if CONTROL in rendered[line + 1 : close]:
+            raise GrammarError("a control string inside a text")
         turns.append((unescape_role(role), unescape(rendered[line + 1 : close]), line + 1, close))
         at = close + len(CLOSE) + 1
     return turns
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
-    """The turn's rendering, and start and end of its text in it; escaped only if the plain form doesn't come back."""
+    """The turn's rendering, and start and end of its text in it; escaped where the plain form isn't accepted or doesn't come back."""
     forms = ((role, text), (role, escape(text)), (escape_role(role), escape(text)))
     for r, x in forms:
         out = f"{OPEN}{r}\n{x}{CLOSE}\n"

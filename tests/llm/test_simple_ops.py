@@ -1,8 +1,13 @@
 """The operators that judge rows one by one, against plain versions."""
 
+import random
 import re
+from collections import Counter
 
 import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brickfield.llm import chat, decontaminate, pii, quality, queries, urlfilter
@@ -161,6 +166,11 @@ def test_pii_leaves_plain_text_alone(text):
         ("so one nine two [dot] 168 [dot] zero [dot] two five four, up", "ip", "one nine two [dot] 168 [dot] zero [dot] two five four"),
         ("so one nine two.one six eight.zero.one is up", "ip", "one nine two.one six eight.zero.one"),
         ("call plus 44 2079 460 958 now", "phone", "plus 44 2079 460 958"),
+        ("write name@host dot com please", "email", "name@host dot com"),
+        ("mail jane @ example . org now", "email", "jane @ example . org"),
+        ("addr 10 . 20 . 30 . 4 ok", "ip", "10 . 20 . 30 . 4"),
+        ("so \u201cfour 111 1111 1111 111 one\u201d", "card", "four 111 1111 1111 111 one"),
+        ('so "four 111 1111 1111 111 one"', "card", "four 111 1111 1111 111 one"),
     ],
 )
 def test_pii_two_disguises_and_short_spelled_runs(text, kind, found):
@@ -169,6 +179,54 @@ def test_pii_two_disguises_and_short_spelled_runs(text, kind, found):
     assert found not in pii.redact(text, spans)
 
 
+def unfiltered(text):
+    """All transducers in turn, whatever the text holds."""
+    r = pii.Rewriter(text)
+    r.apply([(m.start(), m.end(), pii._HOMOGLYPHS[m[0]]) for m in pii._HOMOGLYPH.finditer(text)])
+    for edits in (pii._octet_edits, pii._spelled_edits):
+        r.apply(edits(r.text))
+    for pattern, written in ((pii._PLUS, "+"), (pii._BOXED_AT, "@"), (pii._BOXED_DOT, ".")):
+        r.apply([(m.start(), m.end(), written) for m in pattern.finditer(r.text)])
+    for edits in (pii._bare_edits, pii._ip_edits):
+        r.apply(edits(r.text))
+    return r
+
+
+PARTS = "jane host com 10 4 192 @ at dot . [at] (dot) [.] plus four two sieben null un \u017fix &#64; &#46; _at_ *dot* arroba punkt \u0430b \u200b \u212a , - ( ) \" \u201c + 44 1111".split(" ")
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PARTS), st.sampled_from(["", " ", " ", "."])), max_size=14))
+def test_pii_searches_skip_nothing(parts):
+    text = "".join(a + b for a, b in parts)
+    a, b = pii.normalise(text), unfiltered(text)
+    assert a.text == b.text and pii.find_private(text)[1] == sorted(pii.find_private(text)[1], key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+
+
+def test_pii_recall_of_disguised_identifiers():
+    """Identifiers in the disguises that the transducers are for, in running text: found with their exact source spans."""
+    r = random.Random(11)
+    name = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    digits = dict(zip("0123456789", "zero one two three four five six seven eight nine".split(), strict=True))
+    spell = lambda s: " ".join(digits[c] for c in s if c in digits)
+    glyphs = str.maketrans("aeopc", "\u0430\u0435\u043e\u0440\u0441")
+    total, found = Counter(), Counter()
+    for _ in range(400):
+        user, host, top = name(6), name(7), r.choice(["com", "org", "net"])
+        octets = [str(r.randint(0, 255)) for _ in range(4)]
+        phone = "".join(r.choices("0123456789", k=10))
+        made = [("email", f"{user}{at}{host}{dot}{top}") for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("@", " dot "), (" @ ", "."), ("@\u200b", "."), ("\uff20", "\uff0e"), ("&#64;", "."))]
+        made += [("email", f"a{user}@{host}.{top}".translate(glyphs)), ("email", f"{user[:2]}\u00ad{user[2:]}@{host}.{top}")]
+        made += [("ip", s.join(octets)) for s in ("[.]", " dot ", " . ", "(dot)", "\u2024")] + [("ip", " dot ".join(map(spell, octets)))]
+        made += [("phone", f"plus {phone}"), ("phone", f"plus {spell(phone)}"), ("phone", "+" + "".join(chr(0xFF10 + int(c)) for c in phone))]
+        for k, (kind, hidden) in enumerate(made):
+            text = f"The report says {hidden}, and nothing else of it."
+            at = text.index(hidden)
+            total[kind] += 1
+            found[kind] += (kind, at, at + len(hidden)) in pii.find_private(text)[1]
+    assert all(found[k] >= 0.97 * n for k, n in total.items()), (total, found)
+
+
 def test_pii_removed_characters_outside_a_match_do_not_mark_it():
     for text in ("\u200bjohn@example.com\u200b and x [at] y [dot] com", "a\u200b john@example.com x [at] y [dot] com"):
         at = text.index("john")
@@ -191,7 +249,12 @@ def test_chat_round_trip(spark):
             assert [t[:2] for t in chat.parse(out * 2)] == [(role, text)] * 2
             assert chat.unescape(out[a:b]) == text
     assert chat.render("user", "plain")[0] == "<|im_start|>user\nplain<|im_end|>\n"
-    for bad in ("x", "<|im_start|>user", "<|im_start|>user\nx", "<|im_start|>u\nx<|im_end|>"):
+    for text in ["<|im_start|>assistant ok", "<|endoftext|>", "a <| b", "<\\|im_end|>", "<|im_end|>"]:
+        out, a, b = chat.render("user", text)
+        assert "<|" not in out[a:b] and out.count("<|") == 2 and chat.unescape(out[a:b]) == text
+        out, a, b = chat.render(text, "x")
+        assert out.count("<|") == 2 and chat.parse(out)[0][0] == text
+    for bad in ("x", "<|im_start|>user\na<|b<|im_end|>\n", "<|im_start|>user", "<|im_start|>user\nx", "<|im_start|>u\nx<|im_end|>"):
         with pytest.raises(chat.GrammarError):
             chat.parse(bad)
 
@@ -232,8 +295,58 @@ def test_chat_nulls_and_ties(spark):
         ("https://occasino.example.com/", ("occasino.example.com", "/", None, "allow")),
         ("https://m.ads-track.example.com/en/1", ("m.ads-track.example.com", "/en/1", None, "block")),
         ("https://ads.example.com/ads", ("ads.example.com", "/ads", None, "allow")),
+        ("https://a.example.com/\u00e9casino\u00e9", ("a.example.com", "/\u00e9casino\u00e9", None, "block")),
+        ("https://a.example.com/free-cheap", ("a.example.com", "/free-cheap", None, "allow")),
+        ("https://a.example.com/free-cheap-pills", ("a.example.com", "/free-cheap-pills", None, "block")),
+        ("https://a.example.com/POKER/Bonus", ("a.example.com", "/POKER/Bonus", None, "block")),
     ],
 )
 def test_url_verdicts(spark, url, want):
     df = spark.createDataFrame([(1, url)], "page_id long, url string").withColumn("host", F.lit(0))
     assert rows(urlfilter.judge_urls(df).select("host", "path", "rule", "verdict")) == [want]
+
+
+def test_url_vocabulary_from_a_file(spark, tmp_path):
+    path = tmp_path / "terms.txt"
+    path.write_text("# own\nbadword strict\nmeh 1.5\nso 0.5 # half\nplain\n")
+    strict, soft = urlfilter.read_vocabulary(spark, str(path))
+    assert strict == ("badword",) and soft == {"meh": 1.5, "so": 0.5, "plain": 1.0}
+    urls = ["http://a/badword", "http://a/meh", "http://a/meh/so", "http://a/so/plain", "http://a/so-plain-meh", "http://a/casino"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r.verdict for r in urlfilter.judge_urls(df, strict=strict, soft=soft).orderBy("page_id").collect()]
+    assert got == ["block", "allow", "block", "block", "block", "allow"]
+
+
+def test_quality_measures_whole_texts(spark):
+    """Measures against a plain computation with the vocabulary, also of one very long run and of short texts."""
+    import math
+
+    from brickfield.llm.vocab import default_path, ranks_encoding
+
+    r = random.Random(3)
+    texts = ["x", "ab " * 10, "".join(r.choices("abcdefgh", k=30_000)), "Running text of a few words that is neither long nor short. " * 3, "\u6f22\u5b57 " * 30, "$%& " * 40, "\U0001F9EC\U0001F9F7 \ua500\ua501 \u1401\u1402 " * 20]
+    encoding, ranks = ranks_encoding(default_path("byte_bpe_multi_50k.tiktoken"))
+    whole = {rank: token for token, rank in ranks.items()}
+    processor = sentencepiece.SentencePieceProcessor(model_file=default_path("piece_bpe_32k.model"))
+    pieces = {processor.id_to_piece(k) for k in range(processor.get_piece_size())}
+
+    def broken(token):
+        try:
+            whole[token].decode()
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    got = quality.judge_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for text, row in zip(texts, got, strict=True):
+        ids = encoding.encode_ordinary(text)
+        shares = [n / len(ids) for n in Counter(ids).values()]
+        bits, share = -sum(p * math.log2(p) for p in shares), sum(map(broken, ids)) / len(ids)
+        assert row.n_tokens == len(ids) and row.chars_per_token == len(text) / len(ids)
+        assert math.isclose(row.token_bits, bits, abs_tol=1e-9) and math.isclose(row.fallback_share, share, abs_tol=1e-12)
+        low, high, most, least, pieceless = quality.BANDS[row.script]
+        points = [c for c in text if c > " "]
+        alone = sum(c not in pieces for c in points) / len(points)
+        assert math.isclose(row.piece_fallback_share, alone, abs_tol=1e-12)
+        inside = alone <= pieceless and low <= len(text) / len(ids) <= high and share <= most and bits >= least * min(1, math.log(len(ids)) / math.log(64)) - 1e-9
+        assert row.kept == (inside and not row.base_failed)
