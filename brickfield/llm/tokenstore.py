@@ -46,7 +46,7 @@ from .wordscan import NOT_SPACE, U64, batches_of, mix, scan, text_slices
 END_ID = 1
 GEAR, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 _SLICE = 1 << 21
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 _GEAR_BASE = 0xD6E8_FEB8_6659_FD93
 
 OBJECT = T.StructType(

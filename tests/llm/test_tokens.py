@@ -185,8 +185,9 @@ def test_store_notices_missing_files(spark, tmp_path):
         copy = tmp_path / f"copy{n}"
         shutil.copytree(path, copy)
         (copy / lost.relative_to(path)).unlink()
-        with pytest.raises(Exception, match="CorruptStore|UNABLE_TO_INFER_SCHEMA"):
+        with pytest.raises(Exception) as error:
             tokenstore.read_store(spark, str(copy)).collect()
+        assert "CorruptStore" in repr(error.value), lost
     both = tmp_path / "both"
     shutil.copytree(path, both)
     shard = next(p for p in files if p.parent.name == "manifest")
@@ -195,7 +196,7 @@ def test_store_notices_missing_files(spark, tmp_path):
     kept = spark.read.parquet(f"{path}/roots").where(F.col("shard") != number)
     shutil.rmtree(both / "roots")
     kept.write.parquet(str(both / "roots"))
-    with pytest.raises(Exception, match="CorruptStore"):
+    with pytest.raises(tokenstore.CorruptStore):
         tokenstore.read_store(spark, str(both)).collect()
 
 
