@@ -53,13 +53,13 @@ def remove_label(spark, sf_dir):
 _COS = tr.rotation(0.2, -0.1, 0.3)
 
 
-@query(f"WITH {V} SELECT vol, i, j, k, " + ", ".join(f"round(value * ({_num(_COS[r, 0])} + 2 * {_num(_COS[r, 1])} - {_num(_COS[r, 2])}), 6) + 0 AS g{a}" for r, a in enumerate("xyz")) + ", round(value / 3, 6) + 0 AS bx, round(2 * value / 3, 6) + 0 AS \"by\", round(-value / 3, 6) + 0 AS bz FROM v")
+@query(f"WITH {V} SELECT vol, i, j, k, " + ", ".join(f"round(value * ({_num(_COS[r, 0])} + 2 * {_num(_COS[r, 1])} - {_num(_COS[r, 2])}), 6) + 0 AS g{a}" for r, a in enumerate("xyz")) + ", round(value / 7, 6) + 0 AS bx, round(2 * value / 7, 6) + 0 AS \"by\", round(-value / 7, 6) + 0 AS bz FROM v")
 def grid_space(spark, sf_dir):
     """C20: displacements along the grid's axes, and back to the world's."""
     g = _field(spark, sf_dir)
     g = g.withColumns(dict(zip(("gx", "gy", "gz"), voxelwise.to_grid_space(*(F.col(c) for c in stencil.DISPLACEMENT), _COS), strict=True)))
     g = g.withColumns(dict(zip(("bx", "by", "bz"), voxelwise.from_grid_space(*(F.col(c) for c in ("gx", "gy", "gz")), _COS), strict=True)))
-    return g.select("vol", *AXES, *(r6(F.col(c)).alias(c) for c in ("gx", "gy", "gz")), *(r6(F.col(c) / 3).alias(c) for c in ("bx", "by", "bz")))
+    return g.select("vol", *AXES, *(r6(F.col(c)).alias(c) for c in ("gx", "gy", "gz")), *(r6(F.col(c) / 7).alias(c) for c in ("bx", "by", "bz")))
 
 
 @query("SELECT p_partkey, list_filter([CASE WHEN p_partkey % 4 > 0 THEN p_size * 1.0::DOUBLE END, CASE WHEN p_partkey % 3 > 0 THEN p_size / 2.0::DOUBLE END, 7.0::DOUBLE], lambda x: x IS NOT NULL)[1] AS first, 1 + CAST(p_partkey % 4 > 0 AS INTEGER) + CAST(p_partkey % 3 > 0 AS INTEGER) AS n FROM part")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickfield.llm import decontaminate, jaccard, pieces, pii, quality
-from brickfield.llm.runtime import fresh_dir, table
+from brickfield.llm.runtime import fresh_dir, table, until_the_end
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -68,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             path = fresh_dir(spark, f"stage{k}")
             docs.write.parquet(path)
+            until_the_end(spark, path)
             docs = spark.read.parquet(path)
     return docs
