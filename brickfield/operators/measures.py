@@ -182,6 +182,7 @@ def format_box(box: dict, start, step, style: str = "two_lines") -> str:
     voxels = [box[f"max_{a}"] - box[f"min_{a}"] + 1 for a in AXES]
     first = [box[f"min_{a}"] for a in AXES]
     words = lambda values: " ".join(f"{v:g}" for v in values)
+    # The option strings of the tools that read the box.
     return {
         "one_line": words([*lo, *width]),
         "two_lines": words(lo) + "\n" + words(width),
