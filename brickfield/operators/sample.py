@@ -254,7 +254,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, cell: float, most: int = 6
     left, found = finite(points).select("pid", *XYZ), None
     around = F.array(*(F.struct(*(F.lit(d).alias(a) for a, d in zip("abc", o, strict=True))) for o in itertools.product((-1, 0, 1), repeat=3)))
     live = not segments.isEmpty()
-    for _ in range(most if live else 0):
+    for k in range(most if live else 0):
         if left.isEmpty():
             break
         n = F.ceil(F.greatest(*(F.abs(F.col(f"{c}2") - F.col(f"{c}1")) for c in XYZ)) / cell)
@@ -266,7 +266,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, cell: float, most: int = 6
         best = _cut(met.groupBy("pid").agg(F.sqrt(F.min(_to_segment())).alias("distance")).where(F.col("distance") <= cell))
         found = best if found is None else found.unionByName(best)
         left = _cut(left.join(best.select("pid"), "pid", "left_anti"))
-        cell *= 2
+        cell *= 2 if k < 6 else 8  # what is left by then lies far out
     return points.select("pid").withColumn("distance", F.lit(None).cast("double")) if found is None else points.select("pid").join(found, "pid", "left")
 
 
