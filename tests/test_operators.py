@@ -188,7 +188,7 @@ def test_a_small_volume_goes_to_points_whole(spark):
         assert "LeftOuter" not in plan and "Inner" not in plan
 
 
-@pytest.mark.parametrize("name", ["evaluate_degrees"])
+@pytest.mark.parametrize("name", ["evaluate_degrees", "shifted_similarity"])
 def test_points_are_not_joined_with_their_own_samples(spark, name):
     from brickfield.plans import registry
 
